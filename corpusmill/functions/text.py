@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-WS_CHARS = (
-    r"\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Separators of every kind plus the control characters that count as white space. Single characters and one category
+# test are much faster in the JVM's matcher than a long list of ranges.
+WS_CHARS = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F\x{0085}\p{Z}"
+_WS_LITERAL = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 WS = f"[{WS_CHARS}]"
 NOT_WS = f"[^{WS_CHARS}]"
@@ -26,7 +29,7 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 # HTML named character references that are decoded; `amp` has to come last.
 ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®",
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®",
     "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "mdash": "—", "ndash": "–",
     "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»",
     "deg": "°", "euro": "€", "pound": "£", "agrave": "à", "acirc": "â", "ccedil": "ç",
@@ -34,6 +37,11 @@ ENTITIES = {
     "ucirc": "û", "amp": "&",
 }
 
+_ENTITY_TABLE = "array({})".format(", ".join(
+    "named_struct('ref', '&{};', 'char', '{}')".format(name, char.replace("'", "\\'"))
+    for name, char in ENTITIES.items() if name != "amp"
+))
+
 # Windows-1252 characters and the C1 code points that carry the same bytes.
 _CP1252 = bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
 _CP1252_CHARS = _CP1252.decode("cp1252")
@@ -59,18 +67,18 @@ def collapse_ws(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(_WS_LITERAL))
 
 
 def unescape_entities(c: Column) -> Column:
     """Decode named (`&eacute;`) and numeric (`&#233;`, `&#xE9;`) character references."""
-    named = c
-    for name, char in ENTITIES.items():
-        if name != "amp":
-            named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    numeric = F.when(named.contains("&#"), _decode_numeric(named)).otherwise(named)
-    decoded = F.replace(numeric, F.lit("&amp;"), F.lit("&"))
-    return F.when(c.contains("&"), decoded).otherwise(c)
+
+    def decoded(t: Column) -> Column:
+        named = F.aggregate(F.expr(_ENTITY_TABLE), t, lambda acc, e: F.replace(acc, e["ref"], e["char"]))
+        numeric = let(named, lambda n: F.when(n.contains("&#"), _decode_numeric(n)).otherwise(n))
+        return F.replace(numeric, F.lit("&amp;"), F.lit("&"))
+
+    return let(c, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 
 
 def _decode_numeric(c: Column) -> Column:
@@ -91,32 +99,44 @@ def _decode_numeric(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, "&#"), piece), "")
 
 
+# A UTF-8 lead byte and a continuation byte, both shown as one-byte characters.
+_MOJIBAKE = rf"[\x{{00C2}}-\x{{00F4}}][\x{{0080}}-\x{{00BF}}{_CP1252_CHARS}]"
+_NEEDS_REPAIR = rf"[&{QUOTES_FROM}{''.join(LIGATURES)}\r\x{{0085}}\x{{2028}}\x{{2029}}]|{_MOJIBAKE}"
+
+
 def fix_encoding(c: Column | str) -> Column:
     """Repair common encoding damage: UTF-8 read as Latin-1/Windows-1252, character references, curly quotes,
-    ligatures and line breaks. Unicode normalisation has no built-in and is left out."""
+    ligatures and line breaks. Unicode normalisation has no built-in and is left out.
+
+    One pattern decides whether a text needs any of it; give a plain column, since it is referred to more than once."""
     c = _col(c)
-    suspect = c.rlike(rf"[\x{{00C2}}-\x{{00F4}}][\x{{0080}}-\x{{00BF}}{_CP1252_CHARS}]")
-    as_bytes = F.translate(c, _CP1252_CHARS, _C1_CHARS)
-    one_byte = ~as_bytes.rlike(r"[^\x{0000}-\x{00FF}]")
-    safe = F.when(suspect & one_byte, as_bytes).otherwise(F.lit(""))
-    repaired = F.try_validate_utf8(F.encode(safe, "ISO-8859-1").cast("string"))
-    out = F.when(suspect & one_byte, F.coalesce(repaired, c)).otherwise(c)
-    out = F.when(out.contains("<"), out).otherwise(unescape_entities(out))
-    out = F.translate(out, QUOTES_FROM, QUOTES_TO)
-    ligature = out
-    for src, dst in LIGATURES.items():
-        ligature = F.replace(ligature, F.lit(src), F.lit(dst))
-    out = F.when(out.rlike("[ﬀ-ﬄ]"), ligature).otherwise(out)
-    return F.regexp_replace(out, "\r\n?| | ", "\n")
+
+    def redecode(t: Column) -> Column:
+        as_bytes = F.translate(t, _CP1252_CHARS, _C1_CHARS)
+        # `encode` raises on characters outside its charset, so such texts must not reach it.
+        safe = let(as_bytes, lambda b: F.when(b.rlike(r"[^\x{0000}-\x{00FF}]"), F.lit("")).otherwise(b))
+        utf8 = F.try_validate_utf8(F.encode(safe, "ISO-8859-1").cast("string"))
+        return F.when(t.rlike(_MOJIBAKE), F.coalesce(F.nullif(utf8, F.lit("")), t)).otherwise(t)
+
+    def repair(t: Column) -> Column:
+        out = let(redecode(t), lambda r: F.when(r.contains("<"), r).otherwise(unescape_entities(r)))
+        out = F.translate(out, QUOTES_FROM, QUOTES_TO)
+        for src, dst in LIGATURES.items():
+            out = F.replace(out, F.lit(src), F.lit(dst))
+        return F.regexp_replace(out, r"\r\n?|[\x{0085}\x{2028}\x{2029}]", "\n")
+
+    return F.when(c.rlike(_NEEDS_REPAIR), repair(c)).otherwise(c)
 
 
 def clean_text(c: Column | str, repair: bool = True) -> Column:
-    """Tags to a space, then URLs and e-mail-like tokens out, white space collapsed, control characters out, trimmed."""
+    """Tags to a space, then URLs and e-mail-like tokens out, white space collapsed, control characters out, trimmed.
+
+    The token pattern is anchored at token starts and possessive, so that long runs without blanks stay linear."""
     out = text_or_empty(c)
     out = fix_encoding(out) if repair else out
-    out = F.regexp_replace(out, "<[^>]+>", " ")
+    out = F.regexp_replace(out, "<[^>]++>", " ")
     out = F.regexp_replace(out, f"https?://{NOT_WS}+", "")
-    out = F.when(out.contains("@"), F.regexp_replace(out, f"{NOT_WS}+@{NOT_WS}+", "")).otherwise(out)
+    out = F.regexp_replace(out, f"(?<!{NOT_WS}){NOT_WS}[^@{WS_CHARS}]*+@{NOT_WS}+", "")
     out = collapse_ws(out)
     out = F.regexp_replace(out, r"[\x{0000}-\x{0008}\x{000B}-\x{001F}]", "")
     return F.trim(out)
@@ -124,7 +144,7 @@ def clean_text(c: Column | str, repair: bool = True) -> Column:
 
 def normalize_text(c: Column | str) -> Column:
     """Curly quotes to ASCII, every white-space run to one space, trimmed."""
-    out = F.translate(text_or_empty(c), " " + QUOTES_FROM, " " + QUOTES_TO)
+    out = F.translate(text_or_empty(c), "\u00a0" + QUOTES_FROM, " " + QUOTES_TO)
     return F.trim(collapse_ws(out))
 
 
