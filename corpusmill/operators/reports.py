@@ -82,12 +82,17 @@ def run_totals(results: DataFrame) -> DataFrame:
     )
 
 
-def fetch_statistics(log: DataFrame, outcome: str = "outcome", url: str | None = None) -> DataFrame:
-    """Requests, successes and failures; per domain plus a total row (domain NULL) when a URL column is named."""
+def fetch_statistics(
+    log: DataFrame, outcome: str = "outcome", url: str | None = None, failed: tuple[str, ...] = ("blocked", "error")
+) -> DataFrame:
+    """Requests, successes and failures; per domain plus a total row (domain NULL) when a URL column is named.
+
+    Only blocked or broken requests count as failures; a 404 with a body was still served."""
+    bad = F.col(outcome).isin(*failed)
     counts = [
         F.count("*").alias("requests"),
-        F.count_if(F.col(outcome) == "ok").alias("successes"),
-        F.count_if(F.col(outcome) != "ok").alias("failures"),
+        F.count_if(~bad).alias("successes"),
+        F.count_if(bad).alias("failures"),
     ]
     return log.agg(*counts) if url is None else log.rollup(authority(url).alias("domain")).agg(*counts)
 
