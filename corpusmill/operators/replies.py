@@ -69,13 +69,16 @@ def prompt_table(
 
 
 def _parsed(slice_: Column, schema: str, default: Column) -> Column:
-    """`from_json` turns broken text into NULL fields, so brokenness is tested by itself."""
-    return let(
-        slice_,
-        lambda s: F.when(F.try_parse_json(s).isNull(), default).otherwise(
-            F.coalesce(F.from_json(s, schema), default)
-        ),
-    )
+    """`from_json` turns broken text into NULL fields and ignores whatever follows the first value, so validity is tested
+    by itself: as the first of two array elements, only one complete value gives an array of length two."""
+
+    def parse(s: Column) -> Column:
+        valid = F.json_array_length(F.concat(F.lit("["), s, F.lit(",0]"))) == 2
+        return F.when((s != "") & F.coalesce(valid, F.lit(False)), F.coalesce(F.from_json(s, schema), default)).otherwise(
+            default
+        )
+
+    return let(slice_, parse)
 
 
 def parse_validation(reply: Column | str) -> Column:

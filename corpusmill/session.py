@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs several round trips per Column, which the long HTML expressions would pay thousands of times.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
