@@ -540,7 +540,7 @@ def article_xml(spark, folder):
         f(F.array("lang", "source").alias("Keyword")).alias("KeywordList"),
     )
     table(spark, folder, "documents").select(citation.alias("MedlineCitation")).write.format("xml").option(
-        "rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle").save(path)
+        "rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle").option("indent", "").save(path)
     back = readers.read_article_xml(spark, path)
     return back.select("pmid", "title", "abstract", joined("authors").alias("authors"), "date",
                        joined("keywords").alias("keywords"), "source", "url")
