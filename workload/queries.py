@@ -13,7 +13,7 @@ from corpusmill.operators import (
 )
 from corpusmill.operators.similarity import title_ratio
 from corpusmill.plans import curation, topics, web
-from corpusmill.session import shared_folder, stage
+from corpusmill.session import shared_folder, spread, stage
 from corpusmill.sinks import writers
 from corpusmill.sources import readers
 from corpusmill.streaming import streams
@@ -31,8 +31,13 @@ ALLOWED = ("ththre.example.com", "m.ththth.example.net", "blog.ththan.example.ne
 SCRAPED_AT = "2024-01-31 00:00:00"
 
 
+# Tables whose rows are costly to work on.
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def scratch(spark: SparkSession, name: str) -> str:
