@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import html as H
 from ..functions.urls import authority
+from .rows import array_rows
 
 
 def page_records(pages: DataFrame, url: str = "url", html: str = "html", scraped_at: Column | None = None) -> DataFrame:
@@ -53,7 +54,8 @@ def generic_records(pages: DataFrame, url: str = "url", html: str = "html") -> D
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Internal links as rows (from_url, position, to_url, text)."""
     found = H.links(H.strip_noise(F.col(html)), F.col(url))
-    return pages.select(F.col(url).alias("from_url"), F.posexplode(found).alias("position", "link")).select(
+    edges = array_rows(pages.withColumn("from_url", F.col(url)), ["from_url"], found, "link")
+    return edges.select(
         "from_url", "position", F.col("link.url").alias("to_url"), F.col("link.text").alias("text")
     )
 

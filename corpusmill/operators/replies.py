@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas
 from ..functions.text import json_array_slice, json_object_slice, let, strip, text_or_empty, truncate_marked
+from .rows import array_rows, map_rows
 
 # Characters of content per prompt kind, sampling temperature and reply size.
 PROMPT_SETTINGS = {
@@ -117,10 +118,9 @@ def qa_total(pairs_by_language: Column | str) -> Column:
 
 def multilingual_rows(df: DataFrame, *keys: str, pairs: str) -> DataFrame:
     """One row per language and pair."""
-    return (
-        df.select(*keys, F.explode(pairs).alias("language", "ps"))
-        .select(*keys, "language", F.posexplode("ps").alias("position", "qa"))
-        .select(*keys, "language", "position", "qa.question", "qa.answer", "qa.type")
+    by_language = map_rows(df, list(keys), pairs, "language", "ps")
+    return array_rows(by_language, [*keys, "language"], "ps", "qa").select(
+        *keys, "language", "position", "qa.question", "qa.answer", "qa.type"
     )
 
 
@@ -134,4 +134,4 @@ def reply_lines(df: DataFrame, key: str, reply: str, limit: int, urls_only: bool
         raise ValueError("limit must be positive")
     lines = F.transform(F.split(text_or_empty(reply), "\n"), strip)
     counts = (lambda s: s.startswith("http")) if urls_only else (lambda s: (s != "") & ~s.startswith("#"))
-    return df.select(key, F.posexplode(F.slice(F.filter(lines, counts), 1, limit)).alias("position", "line"))
+    return array_rows(df, [key], F.slice(F.filter(lines, counts), 1, limit), "line")

@@ -25,9 +25,14 @@ def raw_stream(spark: SparkSession, folder: str, schema: str = schemas.RAW, max_
 
 
 def curated_stream(raw: DataFrame, limits: Limits = Limits(), **options) -> DataFrame:
-    """The row-local part of curation on a stream: cleaned, long enough, scored, with `reject_reasons`. No state."""
+    """The row-local part of curation on a stream: cleaned, scored, with `reject_reasons` and `status` (too_short, invalid,
+    kept). No state. Rows are marked rather than filtered: a filter would be pushed below the cleaning and run it twice."""
     terms = {"terms": options.pop("terms")} if "terms" in options else {}
-    return validate(clean(raw, **options).where(has_min_content(limits=limits)), limits, **terms)
+    checked = validate(clean(raw, **options), limits, **terms)
+    status = (
+        F.when(~has_min_content(limits=limits), "too_short").when(~F.col("is_valid"), "invalid").otherwise("kept")
+    )
+    return checked.withColumn("status", status)
 
 
 def first_arrivals(stream: DataFrame, event_time: str, delay: str = "1 day") -> DataFrame:

@@ -11,6 +11,7 @@ from corpusmill.functions.urls import authority
 from corpusmill.operators import (
     dedup, entities as E, frontier, gates, keywords as K, pages as P, qa as Q, replies as R, reports, vectors as V,
 )
+from corpusmill.operators.rows import array_rows, map_rows
 from corpusmill.operators.similarity import title_ratio
 from corpusmill.plans import curation, topics, web
 from corpusmill.session import shared_folder, spread, stage
@@ -107,9 +108,7 @@ def pii_redaction(spark, folder):
 
 
 def pii_counts(spark, folder):
-    return table(spark, folder, "documents").select(
-        "doc_id", F.explode(pii.pii_counts("text", pii.ALL_TYPES)).alias("type", "n")
-    )
+    return map_rows(table(spark, folder, "documents"), ["doc_id"], pii.pii_counts("text", pii.ALL_TYPES), "type", "n")
 
 
 def pii_totals(spark, folder):
@@ -289,7 +288,7 @@ def unvisited_urls(spark, folder):
 # --- enrichment -----------------------------------------------------------------------------------------------------
 
 def document_keywords(spark, folder):
-    found = table(spark, folder, "documents").select("doc_id", F.posexplode(K.keyword_counts("text")).alias("i", "k"))
+    found = array_rows(table(spark, folder, "documents"), ["doc_id"], K.keyword_counts("text"), "k", "i")
     return found.select("doc_id", (F.col("i") + 1).alias("rank"), "k.word", F.col("k.n").alias("n"))
 
 
@@ -584,9 +583,9 @@ def streamed_curation(spark, folder):
     raw(spark, folder).write.json(source)
     stream = streams.raw_stream(spark, source, "seq bigint, " + "title string, abstract string, source string, url string")
     out = streams.curated_stream(stream, LIMITS, pii_types=PII_TYPES, terms=TERMS)
-    _run(out.select("seq", "is_valid", F.round("quality_score", 6).alias("quality")).writeStream.format("parquet")
+    _run(out.select("seq", "status", F.round("quality_score", 6).alias("quality")).writeStream.format("parquet")
          .option("path", sink), spark)
-    return spark.read.schema("seq bigint, is_valid boolean, quality double").parquet(sink)
+    return spark.read.schema("seq bigint, status string, quality double").parquet(sink)
 
 
 def streamed_first_arrivals(spark, folder):
