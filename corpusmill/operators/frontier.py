@@ -43,25 +43,38 @@ def daily_admission(
 ) -> DataFrame:
     """Add `day` and `admitted`: the first `limit` requests of each UTC day pass.
 
-    A day may hold a third of all rows, so it is never sorted in one task: each of `salts` slices of a day keeps its own
-    first `limit` rows, and only those (at most salts x limit per day) are ranked together to find the last admitted
-    row. That table has one row per day.
+    A day may hold a third of all rows, so it is never sorted. Counts per second, combined on the map side, tell in which
+    second the quota of a day runs out; only the requests of that one second are ranked, in `salts` slices first. The
+    result of all that is one row per day, the last admitted request.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
     marked = requests.withColumn("day", F.to_date(ts))
-    slot = F.pmod(F.xxhash64(key), F.lit(salts))
-    narrow = marked.select("day", F.col(ts).alias("_ts"), F.col(key).alias("_key"), slot.alias("_slot"))
-    per_slot = narrow.withColumn(
+    second = F.date_trunc("second", ts)
+    counts = marked.groupBy("day", second.alias("_second")).agg(F.count("*").alias("_n"))
+    # At most 86,400 rows per day.
+    running = Window.partitionBy("day").orderBy("_second").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last_second = stage(
+        counts.withColumn("_to", F.sum("_n").over(running))
+        .where((F.col("_to") >= limit) & (F.col("_to") - F.col("_n") < limit))
+        .select("day", "_second", (F.lit(limit) - (F.col("_to") - F.col("_n"))).alias("_room")),
+        "last-second",
+    )
+    contested = marked.select(
+        "day", second.alias("_second"), F.col(ts).alias("_ts"), F.col(key).alias("_key"),
+        F.pmod(F.xxhash64(key), F.lit(salts)).alias("_slot"),
+    ).join(last_second, ["day", "_second"])
+    per_slot = contested.withColumn(
         "_r", F.row_number().over(Window.partitionBy("day", "_slot").orderBy("_ts", "_key"))
-    ).where(F.col("_r") <= limit)
+    ).where(F.col("_r") <= F.col("_room"))
     per_day = per_slot.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("day").orderBy("_ts", "_key"))
-    ).where(F.col("_rank") <= limit)
+    ).where(F.col("_rank") <= F.col("_room"))
     last = stage(per_day.groupBy("day").agg(F.max(F.struct("_ts", "_key")).alias("_last")), "quota")
+    within = F.struct(F.col(ts), F.col(key)) <= F.struct("_last._ts", "_last._key")
     return (
         marked.join(last, "day", "left")
-        .withColumn("admitted", F.struct(F.col(ts), F.col(key)) <= F.struct("_last._ts", "_last._key"))
+        .withColumn("admitted", F.when(F.col("_last").isNull(), F.lit(True)).otherwise(within))
         .drop("_last")
     )
 

@@ -104,10 +104,12 @@ def export_all(
 
 
 def write_by_group(df: DataFrame, root: str, group: str, mode: str = "append") -> None:
-    """JSON lines in one folder per topic or URL list. Rows are spread at random within a group's folder: a group with a
-    third of the rows is written by many tasks."""
-    slug = topic_slug(F.col(group))
-    df.withColumn("topic_slug", slug).write.mode(mode).partitionBy("topic_slug").json(root)
+    """JSON lines in one folder per topic or URL list.
+
+    The rebalance hint gathers a group's rows, so that tasks do not each leave a small file in every folder, and lets
+    adaptive execution split a group that is too large for one task."""
+    grouped = df.withColumn("topic_slug", topic_slug(F.col(group))).hint("rebalance", F.col("topic_slug"))
+    grouped.write.mode(mode).partitionBy("topic_slug").json(root)
 
 
 def write_report(totals: DataFrame, results: DataFrame, root: str) -> None:

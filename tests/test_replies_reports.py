@@ -82,6 +82,13 @@ def test_daily_quota(spark):
     assert left == {"2024-01-01": (90, 0), "2024-01-02": (10, 40)}
 
 
+def test_quota_contested_within_one_second(spark):
+    rows = [(i, "2024-01-01 10:00:00") for i in range(200)] + [(500 + i, "2024-01-01 09:59:59") for i in range(5)]
+    log = spark.createDataFrame(rows, "event_id bigint, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.event_id for r in frontier.daily_admission(log, limit=25, salts=8).where("admitted").collect()}
+    assert got == {500, 501, 502, 503, 504, *range(20)}
+
+
 def test_visits(spark):
     log = spark.createDataFrame([("u", 1, False), ("u", 2, True), ("u", 3, True), ("v", 4, False)], "url string, seq bigint, ok boolean")
     assert [(r.url, r.seq) for r in frontier.first_visits(log, ok="ok").collect()] == [("u", 2)]
