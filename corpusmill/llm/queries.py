@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import decontamination, line_quality, simhash
+from corpusmill.llm import decontamination, line_quality, packing, simhash
 from corpusmill.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,9 @@ def op9_line_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.contaminated(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", "n_matches")
+
+
+@register
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    found = packing.packed(read_table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc32").alias("ids_crc32"), "sequence_id", "offset")
