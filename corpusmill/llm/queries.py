@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import decontamination, line_quality, packing, simhash
+from corpusmill.llm import decontamination, line_quality, packing, simhash, token_frames
 from corpusmill.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,9 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     found = packing.packed(read_table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc32").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@register
+def op5_token_frames(spark: SparkSession, folder: str) -> DataFrame:
+    path = token_frames.scratch_files(spark)
+    return token_frames.read_frames(token_frames.write_frames(read_table(spark, folder, "documents"), path))
