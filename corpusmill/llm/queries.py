@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import decontamination, line_quality, packing, simhash, token_frames
+from corpusmill.llm import decontamination, line_quality, packing, secret_tags, simhash, token_frames
 from corpusmill.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,10 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op5_token_frames(spark: SparkSession, folder: str) -> DataFrame:
     path = token_frames.scratch_files(spark)
     return token_frames.read_frames(token_frames.write_frames(read_table(spark, folder, "documents"), path))
+
+
+@register
+def op3_secret_tags(spark: SparkSession, folder: str) -> DataFrame:
+    found = read_table(spark, folder, "documents").select("doc_id", secret_tags.secret_scan("text").alias("s"))
+    count = lambda kind: F.size(F.filter("s.spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), count("crf"), "s.base_sha256", F.col("s.digest").alias("spans"))
