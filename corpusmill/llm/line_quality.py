@@ -89,8 +89,8 @@ def common_lines(rows: DataFrame, max_documents: int, spread: float) -> DataFram
 
 
 def line_verdicts(
-    docs: DataFrame, text: str = "text", id_column: str = "doc_id", host: str = "source", max_documents: int = 10, spread: float = 0.3,
-    min_line_words: int = 3, max_removed: float = 0.5, min_words: int = 10, salts: int = 32,
+    docs: DataFrame, text: str = "text", id_column: str = "doc_id", host: str = "source", max_documents: int = 10, spread: float = 0.25,
+    min_line_words: int = 3, max_removed: float = 0.65, min_words: int = 10, salts: int = 32,
 ) -> DataFrame:
     """One row per row of `docs`: id, digest (of the text), host, the base counts, base_failed, kept, removed_words and removed (hashes of
     the lines to remove).

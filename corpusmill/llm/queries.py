@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import decontamination, line_quality, packing, secret_tags, simhash, token_frames
+from corpusmill.llm import decontamination, html_blocks, line_quality, packing, secret_tags, simhash, token_frames, toxicity
 from corpusmill.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,18 @@ def op3_secret_tags(spark: SparkSession, folder: str) -> DataFrame:
     found = read_table(spark, folder, "documents").select("doc_id", secret_tags.secret_scan("text").alias("s"))
     count = lambda kind: F.size(F.filter("s.spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), count("crf"), "s.base_sha256", F.col("s.digest").alias("spans"))
+
+
+@register
+def op1_html_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_blocks.main_text(read_table(spark, folder, "pages").select("page_id", "url", "html"), name="text")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    machine = toxicity.train(docs, labels.where(toxicity.fold() != 2).select("doc_id", "toxic"))
+    found = toxicity.scores(docs, machine)
+    held_out = F.coalesce(toxicity.fold("id") == 2, F.lit(False))
+    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
