@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import decontamination, html_blocks, line_quality, packing, secret_tags, simhash, token_frames, toxicity
+from corpusmill.llm import decontamination, html_blocks, license_scan, line_quality, packing, secret_tags, simhash, token_frames, toxicity, warc_revisits
 from corpusmill.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,16 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     found = toxicity.scores(docs, machine)
     held_out = F.coalesce(toxicity.fold("id") == 2, F.lit(False))
     return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.license_matches(read_table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "template", "start", "n_words", "containment")
+
+
+@register
+def op2_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc_revisits.records_from_pages(read_table(spark, folder, "pages"))
+    found = warc_revisits.resolve_revisits(records)
+    return found.select("record_id", "canonical", F.unix_timestamp("ts").alias("seconds"), "response_id", F.unix_timestamp("response_ts").alias("response_seconds"), "status", "headers")
