@@ -83,6 +83,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20)
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(start, stop - start)
+            pa.default_memory_pool().release_unused()
             start = stop
 
 

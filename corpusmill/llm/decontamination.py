@@ -90,11 +90,12 @@ def contaminated(
     wanted = found.select(F.col("id").alias("i"), F.col("digest").alias("d")).distinct()
     texts = base.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi").dropDuplicates(["id", "digest"])
     hashed = texts.select(F.col("id").alias("i"), F.col("digest").alias("d"), word_hashes(F.col("text")).alias("dw"))
-    salted = tests.select(F.col("item"), F.col("w").alias("iw"), F.explode(F.lit(list(range(salts)))).alias("salt"))
+    salted = tests.select(F.col("item").alias("i"), F.col("w").alias("iw"), F.explode(F.lit(list(range(salts)))).alias("s"))
     pairs = found.join(hashed, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))).drop("i", "d")
     first = F.greatest(F.lit(0), -F.col("shift"))
     beyond = F.least(F.size("iw"), F.size("dw") - F.col("shift"))
-    cut = pairs.withColumn("salt", F.pmod(F.col("digest"), F.lit(salts)).cast("int")).join(salted, ["item", "salt"])
+    salt = F.pmod(F.col("digest"), F.lit(salts)).cast("int")
+    cut = pairs.join(salted, F.col("item").eqNullSafe(F.col("i")) & (salt == F.col("s"))).drop("i", "s")
     cut = cut.withColumn("first", first).withColumn("length", beyond - first).where(F.col("length") >= window)
     equal = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda k: F.get("iw", F.col("first") + k) == F.get("dw", F.col("first") + F.col("shift") + k))
     cut = cut.select("id", "digest", "item", (F.col("first") + F.col("shift")).alias("begin"), equal.alias("equal"))

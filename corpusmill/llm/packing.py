@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusmill.llm.common import slices, stage
-from corpusmill.llm.tokens import Encoder, default_tokenizer_path, encode_documents
+from corpusmill.llm.tokens import default_tokenizer_path, encode_documents, shared_encoder
 
 PIECES = "id long, n_tokens long, lead int, crcs array<long>, part int, lead_rank long, full_start long"
 
@@ -25,7 +25,7 @@ def tokenized(docs: DataFrame, text: str, id_column: str, length: int, end_id: i
     full length counts as full (lead 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = shared_encoder(tokenizer), TaskContext.get().partitionId()
         ranks, full = np.zeros(length + 1, np.int64), 0
         for batch in slices(batches, "text"):
             ids, bounds = encode_documents(encoder, batch.column(1), end_id)

@@ -83,3 +83,55 @@ def op2_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     records = warc_revisits.records_from_pages(read_table(spark, folder, "pages"))
     found = warc_revisits.resolve_revisits(records)
     return found.select("record_id", "canonical", F.unix_timestamp("ts").alias("seconds"), "response_id", F.unix_timestamp("response_ts").alias("response_seconds"), "status", "headers")
+
+
+# The pages of the tables keep their article in one element; the SQL states its text. References decode after the markup is gone.
+ORACLE["op1_html_blocks"] = """
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '[\\s\\x{A0}]+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
+
+ORACLE["op2_warc_revisits"] = """
+WITH p AS (
+  SELECT page_id AS n, url, sha1(coalesce(html, '')) AS tag, 'day ' || (page_id % 28) AS day, length(coalesce(html, ''))::VARCHAR AS size, 1700000000 + page_id * 60 AS t FROM pages
+),
+made AS (
+  SELECT n * 8 AS id, url, t AS s, 'response' AS kind, 200 AS code, '"' || tag || '"' AS etag, day AS lm, 'text/html' AS ct, 'first' AS served, size AS cl, NULL AS cc, NULL AS page, NULL AS front FROM p
+  UNION ALL SELECT n * 8 + 1, url || '#again', t + 86400, 'revisit', 304, '"' || tag || '"', day, 'text/html', 'second', '0', NULL, NULL, NULL FROM p
+  UNION ALL SELECT n * 8 + 2, url || '#late', t - 86400, 'revisit', 304, NULL, NULL, NULL, 'early', NULL, NULL, NULL, NULL FROM p WHERE n % 3 = 0
+  UNION ALL SELECT n * 8 + 3, url, t + 172800, 'revisit', 304, '"' || tag || 'x"', day, 'text/html', 'other', NULL, NULL, NULL, NULL FROM p WHERE n % 4 = 0
+  UNION ALL SELECT n * 8 + 4, url, t + 259200, 'revisit', 304, NULL, NULL, NULL, 'bare', '0', 'no-cache', NULL, NULL FROM p WHERE n % 5 = 0
+  UNION ALL SELECT n * 8 + 5, 'https://www.front.example.org/', t, 'response', CASE WHEN n % 7 = 0 THEN 200 ELSE 404 END, '"' || tag[1] || '"', NULL, NULL, NULL, NULL, NULL, n::VARCHAR, NULL FROM p WHERE n % 2 = 0
+  UNION ALL SELECT n * 8 + 6, 'http://front.example.org:80?utm_source=x', t, 'revisit', 304, 'W/"' || tag[2] || '"', NULL, NULL, NULL, NULL, NULL, NULL, 'yes' FROM p
+),
+cut AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '(?i)^[a-z][a-z0-9+.-]*://', '') AS rest FROM made WHERE kind = 'revisit' OR code = 200),
+parts AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^[^@]*@', ''), '^www[.]|:(80|443)$', '', 'g') AS host,
+    regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|gclid|fbclid|msclkid|sessionid|phpsessid|jsessionid|sid)(=|$)'))) AS query
+  FROM cut
+),
+named AS (SELECT *, coalesce(host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END, '') AS canonical FROM parts),
+latest AS (
+  SELECT *, last_value(CASE WHEN kind = 'response' AND url IS NOT NULL THEN id END IGNORE NULLS) OVER (
+    PARTITION BY canonical ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rid FROM named
+),
+both_sides AS (
+  SELECT v.*, r.s AS rs, r.etag AS r_etag, r.lm AS r_lm, r.ct AS r_ct, r.served AS r_served, r.cl AS r_cl, r.cc AS r_cc, r.page AS r_page, r.front AS r_front,
+    CASE WHEN v.rid IS NULL THEN 'no_response' WHEN regexp_replace(r.etag, '^W/', '') <> regexp_replace(v.etag, '^W/', '') THEN 'mismatch'
+      WHEN regexp_replace(r.etag, '^W/', '') = regexp_replace(v.etag, '^W/', '') THEN 'resolved' WHEN r.lm <> v.lm THEN 'mismatch' WHEN r.lm = v.lm THEN 'resolved' ELSE 'unverified' END AS status
+  FROM latest v LEFT JOIN made r ON r.id = v.rid WHERE v.kind = 'revisit'
+),
+merged AS (
+  SELECT *, list_filter([
+    '"cache-control":"' || coalesce(cc, r_cc) || '"', '"content-length":"' || r_cl || '"', '"content-type":"' || r_ct || '"', '"etag":"' || replace(coalesce(etag, r_etag), '"', '\\"') || '"',
+    '"last-modified":"' || coalesce(lm, r_lm) || '"', '"x-front":"' || coalesce(front, r_front) || '"', '"x-page":"' || coalesce(page, r_page) || '"', '"x-served":"' || coalesce(served, r_served) || '"'
+  ], lambda x: x IS NOT NULL) AS entries FROM both_sides
+)
+SELECT id AS record_id, canonical, s AS seconds, rid AS response_id, rs AS response_seconds, status,
+  CASE WHEN status IN ('resolved', 'unverified') THEN '{' || array_to_string(entries, ',') || '}' END AS headers FROM merged
+"""

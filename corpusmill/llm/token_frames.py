@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusmill.llm.common import shared_folder, slices, stage
-from corpusmill.llm.tokens import Encoder, default_tokenizer_path, encode_documents
+from corpusmill.llm.tokens import default_tokenizer_path, encode_documents, shared_encoder
 
 # Fixed values of the public format.
 SKIPPABLE, INDEX_MAGIC, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
@@ -121,7 +121,7 @@ def write_frames(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        part, writer, tokens, encoder = context.partitionId(), None, 0, Encoder(tokenizer)
+        part, writer, tokens, encoder = context.partitionId(), None, 0, shared_encoder(tokenizer)
         system, base = file_system(folder)
         name = f"{base}/ids-{part:06d}.zst"
         attempt = f"{base}/.attempt-{part:06d}-{context.taskAttemptId()}-{uuid.uuid4().hex}"
