@@ -28,7 +28,7 @@ BAD_NAMES = re.compile(
 )
 GOOD_NAMES = re.compile(r"\b(?:article|content|post|entry|story|main|body|text)\b", re.IGNORECASE)
 FEATURES = (
-    "words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_bad_element", "bad_name", "good_name", "heading", "item", "page_has_article",
+    "words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_bad_element", "bad_name", "good_name", "heading", "item", "outside_article",
     "in_header",
 )
 
@@ -119,11 +119,11 @@ def flat_blocks(source: str) -> list[dict]:
         before, after = blocks[k - 1] if k else None, blocks[k + 1] if k + 1 < len(blocks) else None
         block["words_before"], block["links_before"] = (before["words"], before["links"]) if before else (0, 0.0)
         block["words_after"], block["links_after"] = (after["words"], after["links"]) if after else (0, 0.0)
-        block["page_has_article"] = has_article
+        block["outside_article"] = has_article and not block["in_article"]
     return blocks
 
 
-def labelled_pages(pages: int = 120, seed: int = 5) -> list[str]:
+def labelled_pages(pages: int = 200, seed: int = 5) -> list[str]:
     """The labelled table: pages of varied layout, made by rule, whose blocks carry data-label 1 (article) or 0."""
     rng = random.Random(seed)
     words = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all we can her has there".split()
@@ -134,20 +134,21 @@ def labelled_pages(pages: int = 120, seed: int = 5) -> list[str]:
         return "<ul>" + "".join(f'<li {no}><a href="/{i}">{text(1, 3)}</a></li>' for i in range(rng.randint(low, high))) + "</ul>"
 
     def clutter(kind: str) -> str:
-        body = f"<p {no}>{text(2, 40)}</p>" * rng.randint(1, 3)
+        title = rng.choice(["", "", f"<h2 {no}>{text(1, 4)}</h2>", f"<h3 {no}>{text(1, 6)}</h3>", f"<h4 {no}>{text(1, 3)}</h4>"])
+        body = title + "".join(f"<p {no}>{text(2, 40)}</p>" for _ in range(rng.randint(1, 3)))
         return {
             "nav": f"<nav>{links(3, 8)}</nav>", "header": f"<header><div {no}>{text(1, 8)}</div>{links(0, 3)}</header>", "aside": f"<aside>{body}{links(0, 5)}</aside>",
             "ad": f'<div class="{rng.choice(["ad", "advert", "banner-ad", "sponsored"])}" {no}>{text(3, 30)}</div>', "cookie": f'<div id="{rng.choice(["cookie-notice", "consent", "notice"])}">{body}</div>',
-            "form": f"<form {no}>{text(1, 8)}<label {no}>{text(1, 4)}</label><button {no}>{text(1, 2)}</button></form>",
-            "comments": f'<{(t := rng.choice(["section", "div"]))} class="{rng.choice(["comments", "comment-list", "comments-area"])}">{body}</{t}>', "related": f'<div class="related">{links(2, 6)}</div>',
+            "form": f"<form {no}>{text(1, 8)}{title}<label {no}>{text(1, 4)}</label><button {no}>{text(1, 2)}</button></form>",
+            "comments": f'<{(t := rng.choice(["section", "div"]))} class="{rng.choice(["comments", "comment-list", "comments-area"])}">{body}</{t}>', "related": f'<div class="related">{title}{links(2, 6)}</div>',
             "share": f'<div class="share">{links(2, 4)}</div>', "menu": f'<div class="menu">{links(3, 8)}</div>', "lone": f'<p class="advert" {no}>{text(4, 20)}</p>',
-            "plain": f"<div>{links(3, 9)}</div>",
+            "plain": f"<div>{title}{links(3, 9)}</div>",
         }[kind]
 
     def article() -> str:
         parts = [f"<h1 {yes}>{text(1, 14)}</h1>"]
         for _ in range(rng.randint(1, 9)):
-            parts.append(rng.choice([f"<p {yes}>{text(1, 120)}</p>"] * 6 + [f"<h2 {yes}>{text(1, 8)}</h2>", f"<ul><li {yes}>{text(2, 20)}</li><li {yes}>{text(2, 20)}</li></ul>", f"<blockquote {yes}>{text(3, 40)}</blockquote>",
+            parts.append(rng.choice([f"<p {yes}>{text(1, 120)}</p>"] * 5 + [f"<p {yes}>{text(1, 6)}</p>"] * 3 + [f"<h2 {yes}>{text(1, 8)}</h2>", f"<ul><li {yes}>{text(2, 20)}</li><li {yes}>{text(2, 20)}</li></ul>", f"<blockquote {yes}>{text(3, 40)}</blockquote>",
                                      f'<p {yes}>{text(10, 40)} <a href="/x">{text(1, 3)}</a> {text(5, 40)}</p>']))
             if rng.random() < 0.15:
                 parts.append(clutter(rng.choice(["ad", "aside", "share", "form", "lone"])))
