@@ -1,9 +1,10 @@
 """Field extraction from raw HTML with built-in regular expressions and array functions.
 
 The functions expect `html` after `strip_noise` (comments, scripts and styles removed). A `<p>` ends at its closing tag
-or where the next paragraph or block element starts, which is how a browser closes it. `article` and `main` regions
-end at their first closing tag; a region chosen by class or id of a `div` runs to the end of the page, because a
-regular expression cannot balance nested elements.
+or where the next paragraph or block element starts, which is how a browser closes it. Regions end where their element
+does: the markup behind the opening tag is cut at every tag of that name, and a fold over the pieces counts the depth.
+
+Limits on the number or length of extracted parts are parameters; None means everything.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from .text import WS, clean_page_text, collapse_ws, let, strip, unescape_entitie
 from .urls import authority, resolve
 
 MIN_PARAGRAPH = 50
-MAX_IMAGES = 20
-MAX_LINKS = 50
 
 # The inside of a tag: anything but `>`, or a quoted attribute value.
 _IN_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
@@ -75,10 +74,33 @@ def _has_token(attribute: str, token: str) -> str:
     )
 
 
-def _rest_after(html: Column, tag: str, attributes: str) -> Column:
-    opening = rf"<{tag}(?=\s){attributes}{_IN_TAG}>"
+def _region(html: Column, tag: str, attributes: str = "") -> Column:
+    """Inner markup of the first element that opens so, nested elements of its name included; NULL when absent. An element
+    that is never closed runs to the end of the page."""
+    opening = rf"<({tag})(?=[\s>/]){attributes}{_IN_TAG}>"
     rest = F.regexp_extract(html, rf"(?is){opening}.*", 0)
-    return let(rest, lambda r: F.when(r != "", F.regexp_replace(r, rf"(?is)\A{opening}", "")))
+
+    def inner(r: Column) -> Column:
+        name = F.lower(F.regexp_extract(r, r"^<([A-Za-z][A-Za-z0-9]*)", 1))
+        pieces = F.split(F.regexp_replace(r, rf"(?is)\A{opening}", ""), F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s>/])")))
+
+        def step(state: Column, piece: Column) -> Column:
+            start = F.lower(F.substring(piece, 1, 30))
+            change = (
+                F.when(F.startswith(start, F.concat(F.lit("</"), name)), -1)
+                .when(F.startswith(start, F.concat(F.lit("<"), name)), 1).otherwise(0)
+            )
+            depth = F.when(state["depth"] == 0, 0).otherwise(state["depth"] + change)
+            return F.struct(depth.alias("depth"), (state["taken"] + F.when(depth > 0, 1).otherwise(0)).alias("taken"))
+
+        def kept(parts: Column) -> Column:
+            start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken"))
+            # A split with look-ahead can open with a piece that is itself a tag, so the first piece is counted as any other.
+            return F.array_join(F.slice(parts, F.lit(1), F.aggregate(parts, start, step)["taken"]), "")
+
+        return F.when(r != "", let(pieces, kept))
+
+    return let(rest, inner)
 
 
 def tags(html: Column, name: str) -> Column:
@@ -146,18 +168,22 @@ def main_content(html: Column) -> Column:
         return let(found, lambda ps: F.when(F.size(ps) > 0, ps))
 
     chosen = F.coalesce(
-        long_ones(_element(html, "article")),
-        long_ones(_element(html, "main")),
-        long_ones(_rest_after(html, "div", _has_value("class", _MAIN_CLASS))),
-        long_ones(_rest_after(html, "div", _has_value("id", _MAIN_CLASS))),
+        long_ones(_region(html, "article")),
+        long_ones(_region(html, "main")),
+        long_ones(_region(html, "div", _has_value("class", _MAIN_CLASS))),
+        long_ones(_region(html, "div", _has_value("id", _MAIN_CLASS))),
         long_ones(html),
         F.array().cast("array<string>"),
     )
     return clean_page_text(F.array_join(chosen, "\n\n"))
 
 
-def abstract(html: Column, metas: Column) -> Column:
-    """Meta description (even when empty), else og:description, else a first paragraph of more than 100 characters."""
+def up_to(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.substring(text, 1, limit)
+
+
+def abstract(html: Column, metas: Column, limit: int | None = None) -> Column:
+    """Meta description (even when empty), else og:description, else a first paragraph of more than 100 characters, up to `limit`."""
     described = _first_meta(metas, "name", "description")
     og = _first_meta(metas, "property", "og:description")
     first = F.get(paragraphs(html), F.lit(0))
@@ -165,7 +191,7 @@ def abstract(html: Column, metas: Column) -> Column:
         F.when(described.isNotNull(), clean_page_text(described["content"]))
         .when(og.isNotNull(), clean_page_text(og["content"]))
         .otherwise(
-            let(first, lambda p: F.when(F.length(p) > 100, clean_page_text(F.substring(p, 1, 500))).otherwise(F.lit("")))
+            let(first, lambda p: F.when(F.length(p) > 100, clean_page_text(up_to(p, limit))).otherwise(F.lit("")))
         )
     )
 
@@ -227,10 +253,10 @@ def keywords(metas: Column) -> Column:
     return F.when(found.isNotNull(), listed).otherwise(F.array().cast("array<string>"))
 
 
-def images(html: Column, base: Column, limit: int = MAX_IMAGES) -> Column:
+def images(html: Column, base: Column, limit: int | None = None) -> Column:
     with_source = F.filter(tags(html, "img"), lambda t: F.coalesce(attribute(t, "src") != "", F.lit(False)))
     return F.transform(
-        F.slice(with_source, 1, limit),
+        with_source if limit is None else F.slice(with_source, 1, limit),
         lambda t: F.struct(
             resolve(base, attribute(t, "src")).alias("url"),
             F.coalesce(attribute(t, "alt"), F.lit("")).alias("alt"),
@@ -239,7 +265,7 @@ def images(html: Column, base: Column, limit: int = MAX_IMAGES) -> Column:
     )
 
 
-def links(html: Column, base: Column, limit: int = MAX_LINKS) -> Column:
+def links(html: Column, base: Column, limit: int | None = None) -> Column:
     """Links that stay on the authority of the page, in page order."""
     anchors = F.regexp_extract_all(html, F.lit(rf"(?is)<a(?=\s){_IN_TAG}>.*?(?=</?a[\s>]|\z)"), F.lit(0))
     resolved = F.filter(
@@ -252,29 +278,27 @@ def links(html: Column, base: Column, limit: int = MAX_LINKS) -> Column:
         ),
         lambda link: F.coalesce(authority(link["url"]) == authority(base), F.lit(False)),
     )
-    return F.slice(resolved, 1, limit)
+    return resolved if limit is None else F.slice(resolved, 1, limit)
 
 
-def generic_title(html: Column, limit: int = 250) -> Column:
+def generic_title(html: Column, limit: int | None = None) -> Column:
     """`<title>`, or the first `<h1>` of a page without one."""
     titled = unescape_entities(_element(html, "title"))
-    return F.substring(
-        F.coalesce(titled, text_pieces(_element(html, "h1"), ""), F.lit("")), 1, limit
-    )
+    return up_to(F.coalesce(titled, text_pieces(_element(html, "h1"), ""), F.lit("")), limit)
 
 
-def generic_content(html: Column, limit: int = 3000) -> Column:
+def generic_content(html: Column, limit: int | None = None) -> Column:
     """Whole text of the first main region after navigation, header and footer are removed, else of all paragraphs."""
     region = F.coalesce(
-        _element(html, "article"),
-        _element(html, "main"),
-        _rest_after(html, "[a-z][a-z0-9]*", _has_token("class", "content")),
-        _rest_after(html, "[a-z][a-z0-9]*", _has_token("id", "content")),
-        _rest_after(html, "[a-z][a-z0-9]*", _has_token("class", "article-body")),
+        _region(html, "article"),
+        _region(html, "main"),
+        _region(html, "[a-z][a-z0-9]*", _has_token("class", "content")),
+        _region(html, "[a-z][a-z0-9]*", _has_token("id", "content")),
+        _region(html, "[a-z][a-z0-9]*", _has_token("class", "article-body")),
     )
     from_paragraphs = F.array_join(F.transform(paragraph_markup(html), lambda p: text_pieces(p, "")), " ")
     whole = _or_null(text_pieces(region, " "))
-    return F.substring(F.coalesce(whole, from_paragraphs), 1, limit)
+    return up_to(F.coalesce(whole, from_paragraphs), limit)
 
 
 def strip_chrome(html: Column) -> Column:

@@ -8,17 +8,14 @@ from ..session import stage
 
 
 def first_visits(log: DataFrame, url: str = "url", seq: str = "seq", ok: str | None = None) -> DataFrame:
-    """The first row of each URL in arrival order; with `ok`, the first successful one.
+    """The first row of each URL in arrival order; with `ok`, the first successful one. `seq` is unique.
 
-    `min_by` combines on the map side, so a URL that makes up a third of the log costs one row per task in the shuffle.
+    Only the number is reduced, by a hash aggregate that combines before its shuffle, so a URL that makes up a third of the log costs one row per
+    task; the wide row is then fetched by its number.
     """
     rows = log if ok is None else log.where(F.col(ok))
-    return (
-        rows.groupBy(url)
-        .agg(F.min_by(F.struct(*[c for c in log.columns if c != url]), F.col(seq)).alias("r"))
-        .select(url, "r.*")
-        .select(*log.columns)
-    )
+    first = rows.where(F.col(seq).isNotNull()).groupBy(url).agg(F.min(seq).alias("_first")).select("_first")
+    return rows.join(first, F.col(seq) == F.col("_first"), "left_semi")
 
 
 def unvisited(urls: DataFrame, log: DataFrame, url: str = "url", ok: str = "ok") -> DataFrame:
@@ -27,21 +24,24 @@ def unvisited(urls: DataFrame, log: DataFrame, url: str = "url", ok: str = "ok")
     return urls.join(done, url, "left_anti")
 
 
-def first_n_per_group(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
+def first_n_per_group(df: DataFrame, group: str, order: list, n: int, salts: int = 16) -> DataFrame:
     """The first `n` rows of each group with their rank.
 
-    Spark evaluates `row_number() <= n` per task before the shuffle as well, so at most n rows per task and group move.
+    Ranked twice: within `salts` slices of a group, then among the first n rows of the slices. A hot group is so sorted in slices
+    and at most salts * n of its rows meet in one task, whatever n is; for small n Spark applies the limit before the shuffle too.
     """
     if n < 1:
         raise ValueError("n must be positive")
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    slot = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not dict(df.dtypes)[c].startswith(("map", "variant"))]), F.lit(salts))
+    sliced = df.withColumn("_slot", slot)
+    near = sliced.withColumn("rank", F.row_number().over(Window.partitionBy(group, "_slot").orderBy(*order))).where(F.col("rank") <= n).drop("_slot", "rank")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
 
 
 def daily_admission(
     requests: DataFrame, limit: int = 2000, ts: str = "ts", key: str = "event_id", salts: int = 64
 ) -> DataFrame:
-    """Add `day` and `admitted`: the first `limit` requests of each UTC day pass.
+    """Add `day` and `admitted`: the first `limit` requests of each UTC day pass. A request without a time has no day and does not pass.
 
     A day may hold a third of all rows, so it is never sorted. Counts per second, combined on the map side, tell in which
     second the quota of a day runs out; only the requests of that one second are ranked, in `salts` slices first. The
@@ -74,7 +74,7 @@ def daily_admission(
     within = F.struct(F.col(ts), F.col(key)) <= F.struct("_last._ts", "_last._key")
     return (
         marked.join(last, "day", "left")
-        .withColumn("admitted", F.when(F.col("_last").isNull(), F.lit(True)).otherwise(within))
+        .withColumn("admitted", F.when(F.col(ts).isNull(), F.lit(False)).when(F.col("_last").isNull(), F.lit(True)).otherwise(within))
         .drop("_last")
     )
 

@@ -93,28 +93,38 @@ def require_allowlist(df: DataFrame, domain: str, allowed: Sequence[str] = ALLOW
     return df.where(F.when(on_allowlist(domain, allowed), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
+def plain_path(path: Column) -> Column:
+    """Path with percent escapes decoded, so that two spellings of one path compare equal; broken escapes stay as written."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 def crawl_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
     """Add `allowed`: the first rule of the site whose prefix starts the path decides; no rule means allowed.
 
-    `rules` holds (site, agent, ord, allow, prefix) with site as `scheme://authority`. A site that names the agent uses
-    that section, else the `*` section. Rules are gathered per site first, so the join keeps one row per URL and a site
-    with very many URLs is only a skewed join key, which adaptive execution splits.
+    `rules` holds (site, agent, ord, allow, prefix) with site as `scheme://authority`. A section applies when its agent
+    occurs in the product token of the given user agent (the part before the first slash, whatever the case); the first such section in
+    file order is used, else the `*` section. An empty prefix that forbids allows all. Paths are compared with
+    escapes decoded. Rules are gathered per site first, so the join keeps one row per URL and a site with very many
+    URLs is only a skewed join key, which adaptive execution splits.
     """
-    by_site = (
-        rules.where(F.lower("agent").isin(agent.lower(), "*"))
-        .groupBy("site")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct((F.col("agent") == "*").cast("int").alias("general"), "ord", "allow", "prefix")
+    token = F.lit(agent.split("/")[0].lower())
+    general = F.col("agent") == "*"
+    ranked = rules.where(general | F.contains(token, F.lower("agent"))).withColumn("_general", general.cast("int"))
+    by_site = ranked.groupBy("site").agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    F.col("_general").alias("general"), "ord", F.lower("agent").alias("agent"),
+                    (F.col("allow") | (F.col("prefix") == "")).alias("allow"), plain_path(F.col("prefix")).alias("prefix"),
                 )
-            ).alias("_rules")
-        )
+            )
+        ).alias("_rules")
     )
     keyed = urls.withColumn("_site", F.concat(scheme(url), F.lit("://"), authority(url))).withColumn(
-        "_path", path_and_query(url)
+        "_path", plain_path(path_and_query(url))
     )
-    section = F.filter("_rules", lambda r: r["general"] == F.get("_rules", F.lit(0))["general"])
+    first = F.get("_rules", F.lit(0))
+    section = F.filter("_rules", lambda r: (r["general"] == first["general"]) & (r["agent"] == first["agent"]))
     first_hit = F.get(F.filter(section, lambda r: F.startswith(F.col("_path"), r["prefix"])), F.lit(0))
     return (
         keyed.join(by_site.withColumnRenamed("site", "_site"), "_site", "left")

@@ -12,9 +12,12 @@ from ..functions.urls import authority
 from .rows import array_rows
 
 
-def page_records(pages: DataFrame, url: str = "url", html: str = "html", scraped_at: Column | None = None) -> DataFrame:
+def page_records(
+    pages: DataFrame, url: str = "url", html: str = "html", scraped_at: Column | None = None, max_images: int | None = None,
+    max_links: int | None = None, abstract_chars: int | None = None,
+) -> DataFrame:
     """One record per page: url, domain, scraped_at, title, content, abstract, metadata, authors, date, keywords,
-    images, links. A narrow job: nothing is shuffled."""
+    images, links. A narrow job: nothing is shuffled. None limits nothing."""
     prepared = pages.select(F.col(url).alias("url"), H.strip_noise(F.col(html)).alias("_h")).withColumn(
         "_m", H.meta_entries(F.col("_h"))
     )
@@ -25,24 +28,26 @@ def page_records(pages: DataFrame, url: str = "url", html: str = "html", scraped
         (F.lit(None).cast("timestamp") if scraped_at is None else scraped_at).alias("scraped_at"),
         H.title(h, m).alias("title"),
         H.main_content(h).alias("content"),
-        H.abstract(h, m).alias("abstract"),
+        H.abstract(h, m, abstract_chars).alias("abstract"),
         H.metadata(m).alias("metadata"),
         H.authors(h, m).alias("authors"),
         H.date(h, m).alias("date"),
         H.keywords(m).alias("keywords"),
-        H.images(h, u).alias("images"),
-        H.links(h, u).alias("links"),
+        H.images(h, u, max_images).alias("images"),
+        H.links(h, u, max_links).alias("links"),
     )
 
 
-def generic_records(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Raw article records from arbitrary pages."""
+def generic_records(
+    pages: DataFrame, url: str = "url", html: str = "html", title_chars: int | None = None, content_chars: int | None = None
+) -> DataFrame:
+    """Raw article records from arbitrary pages; None limits nothing."""
     body = pages.select(F.col(url).alias("url"), H.strip_chrome(H.strip_noise(F.col(html))).alias("_h"))
     h = F.col("_h")
     none = F.array().cast("array<string>")
     return body.select(
-        H.generic_title(h).alias("title"),
-        H.generic_content(h).alias("abstract"),
+        H.generic_title(h, title_chars).alias("title"),
+        H.generic_content(h, content_chars).alias("abstract"),
         "url",
         F.lit("generic").alias("source"),
         none.alias("authors"),
@@ -52,7 +57,7 @@ def generic_records(pages: DataFrame, url: str = "url", html: str = "html") -> D
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Internal links as rows (from_url, position, to_url, text)."""
+    """All internal links as rows (from_url, position, to_url, text)."""
     found = H.links(H.strip_noise(F.col(html)), F.col(url))
     edges = array_rows(pages.withColumn("from_url", F.col(url)), ["from_url"], found, "link")
     return edges.select(

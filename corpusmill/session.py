@@ -50,6 +50,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Use every core on a table that arrives in few pieces, such as one file with one row group, before costly row-local
-    work. A table that already has a partition per core, as any large one does, is returned as it is."""
+    work. A scan that already has a partition per core, as any large one does, is returned as it is; a plan with a shuffle is
+    left alone, since asking for its partitions would run it."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.collectLeaves().size() != 1 or any(word in plan.toString() for word in ("Aggregate", "Join", "Sort", "Repartition", "Distinct", "Deduplicate")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

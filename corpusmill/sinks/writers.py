@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions.text import topic_slug
+from ..session import stage
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -31,15 +32,14 @@ def upsert(current: DataFrame, batch: DataFrame, key: str = "hash_sha256", seq:
     map-side combining.
     """
     columns = [c for c in current.columns if c not in (key, keep)]
-    latest = (
-        batch.groupBy(key)
-        .agg(F.max_by(F.struct(*columns), F.col(seq)).alias("r"), F.min_by(keep, seq).alias("_inserted"))
-    )
+    ends = batch.groupBy(key).agg(F.max(seq).alias("_last"), F.min(seq).alias("_first"))
+    inserted = batch.join(ends.select("_first"), F.col(seq) == F.col("_first"), "left_semi").select(key, F.col(keep).alias("_inserted"))
+    latest = batch.join(ends.select("_last"), F.col(seq) == F.col("_last"), "left_semi").select(key, *columns).join(inserted, key)
     known = current.select(key, F.col(keep).alias("_known"), F.lit(True).alias("_exists")).join(
         batch.select(key).distinct(), key, "left_semi"
     )
     changed = latest.join(known, key, "left").select(
-        key, F.when(F.col("_exists"), F.col("_known")).otherwise(F.col("_inserted")).alias(keep), "r.*"
+        key, F.when(F.col("_exists"), F.col("_known")).otherwise(F.col("_inserted")).alias(keep), *columns
     )
     untouched = current.join(batch.select(key).distinct(), key, "left_anti")
     return untouched.unionByName(changed.select(*current.columns))
@@ -68,6 +68,7 @@ def upsert_snapshot(root: str, batch: DataFrame, version: int | None = None, key
     if version is None:
         version = 0 if previous is None else previous + 1
     columns = [c for c in batch.columns if c != seq]
+    batch = stage(batch, "batch")
     if previous is None:
         current = batch.select(*columns).limit(0)
     else:
@@ -89,8 +90,9 @@ def export_all(
     flatten_json: bool = False,
 ) -> dict[str, str]:
     """Write every enabled format and return format -> path. Each format has its own folder, so none overwrites another.
-    `entries` carries `seq` for the keyed table; the other formats leave it out."""
+    `entries` carries `seq` for the keyed table; the other formats leave it out. The entries are computed once, into a staged table."""
     paths = {}
+    entries = stage(entries, "entries")
     columns = [c for c in entries.columns if c != "seq"]
     if jsonl:
         paths["jsonl"] = f"{root}/jsonl/{name}"
@@ -103,7 +105,7 @@ def export_all(
     return paths
 
 
-def write_by_group(df: DataFrame, root: str, group: str, mode: str = "append") -> None:
+def write_by_group(df: DataFrame, root: str, group: str, mode: str = "errorifexists") -> None:
     """JSON lines in one folder per topic or URL list.
 
     The rebalance hint gathers a group's rows, so that tasks do not each leave a small file in every folder, and lets

@@ -74,3 +74,14 @@ def test_fetch_outcome(spark):
 def test_quality_gate(spark):
     df = spark.createDataFrame([(0.7,), (0.69,), (None,)], "quality_score double")
     assert [r.kept for r in gates.quality_gate(df).collect()] == [True, False, False]
+
+
+def test_crawl_rules_match_product_tokens_and_escapes(spark):
+    rules = spark.createDataFrame(
+        [("http://a.example", "*", 0, False, "/"), ("http://a.example", "medbot", 1, False, "/%7Eprivate/"), ("http://a.example", "bot", 2, False, "/all"),
+         ("http://b.example", "medbot", 0, False, "")], "site string, agent string, ord int, allow boolean, prefix string")
+    urls = ["http://a.example/~private/1", "http://a.example/%7eprivate/1", "http://a.example/all", "http://a.example/100%", "http://b.example/x"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r.url: r.allowed for r in gates.crawl_allowed(df, rules, "MedBot/1.0 (x/2)").collect()}
+    assert [got[u] for u in urls] == [False, False, True, True, True]
+    assert not any(r.allowed for r in gates.crawl_allowed(df.where("url like '%a.ex%'"), rules, "Crawler/medbot").collect())

@@ -21,7 +21,7 @@ URL = "http://h.example/d/p.html?z=1"
 
 @pytest.fixture(scope="module")
 def record(spark):
-    return P.page_records(spark.createDataFrame([(URL, PAGE)], "url string, html string")).first()
+    return P.page_records(spark.createDataFrame([(URL, PAGE)], "url string, html string"), abstract_chars=500).first()
 
 
 def test_fields(record):
@@ -46,7 +46,7 @@ def test_images_and_links(record):
 
 
 def parse(spark, html):
-    return P.page_records(spark.createDataFrame([(URL, html)], "url string, html string")).first()
+    return P.page_records(spark.createDataFrame([(URL, html)], "url string, html string"), abstract_chars=500).first()
 
 
 def test_fallbacks(spark):
@@ -64,7 +64,8 @@ def test_fallbacks(spark):
 
 def test_limits(spark):
     many = "".join(f"<img src=/i{i}><a href=/l{i}>{i}</a>" for i in range(80))
-    record = parse(spark, many)
+    df = spark.createDataFrame([(URL, many)], "url string, html string")
+    record = P.page_records(df, max_images=20, max_links=50).first()
     assert len(record.images) == 20 and len(record.links) == 50 and record.links[49].url == "http://h.example/l49"
 
 
@@ -107,3 +108,27 @@ def test_resolution_agrees_with_the_standard_library(spark):
 def test_authority(one):
     for url in BASES + ["https://u:p@h.example:8080/x y?z", "no-scheme/path", ""]:
         assert one(url, U.authority) == urlparse(url).netloc
+
+
+def test_regions_end_with_their_element(spark):
+    long = "A paragraph that is long enough to count as content of the page, surely."
+    pages = [
+        ("d", f"<div class='content'><div><p>{long} 1</p></div><DIV></DIV><p>{long} 2</p></div><div class='cookie'><p>{long} 3</p></div>", [1, 2]),
+        ("n", f"<article><p>{long} 1</p><article><p>{long} 2</p></article><p>{long} 3</p></article><p>{long} 4</p>", [1, 2, 3]),
+        ("u", f"<div id=\"post\"><p>{long} 1</p><div><p>{long} 2</p>", [1, 2]),
+        ("o", f"<p>{long} 1</p><section class='content'><section><p>{long} 2</p></section></section><section><p>{long} 3</p></section>", [1, 2, 3]),
+    ]
+    df = spark.createDataFrame([(u, h) for u, h, _ in pages], "url string, html string")
+    got = {r.url: r.content for r in P.page_records(df).collect()}
+    for url, _, numbers in pages:
+        assert got[url] == " ".join(f"{long} {n}" for n in numbers), url
+    generic = {r.url: r.abstract for r in P.generic_records(df).collect()}
+    assert generic["d"].endswith("2") and "3" not in generic["d"] and generic["o"] == f"{long} 2"
+
+
+def test_no_limit_unless_asked(spark):
+    html = "".join(f"<a href='/{i}'>{i}</a><img src='/{i}.png'>" for i in range(70))
+    df = spark.createDataFrame([(URL, html)], "url string, html string")
+    assert P.link_edges(df).count() == 70
+    row, cut = P.page_records(df).first(), P.page_records(df, max_images=20, max_links=50).first()
+    assert (len(row.links), len(row.images), len(cut.links), len(cut.images)) == (70, 70, 50, 20)

@@ -158,7 +158,8 @@ def allowlist_flags(spark, folder):
 
 
 def crawl_rules(spark, folder):
-    """Rules derived from the pages: every site opens part of `/en/` before closing it; mobile sites name the agent."""
+    """Rules derived from the pages: every site opens part of `/en/`, written with escapes, before closing it; mobile sites name
+    a word of the agent, which is given as a full user-agent string."""
     pages = table(spark, folder, "pages")
     sites = pages.select(F.regexp_extract("url", r"^(https?://[^/?#]*)", 1).alias("site")).distinct()
 
@@ -166,12 +167,12 @@ def crawl_rules(spark, folder):
         return sites.select("site", F.lit(agent).alias("agent"), F.lit(ord_).alias("ord"), F.lit(allow).alias("allow"),
                             F.lit(prefix).alias("prefix"))
 
-    named = rule("miner", 0, False, "/es").where(F.col("site").contains("://m."))
+    named = rule("Miner", 0, False, "/es").where(F.col("site").contains("://m."))
     rules = (
-        rule("*", 0, True, "/en/4").unionByName(rule("*", 1, False, "/en/")).unionByName(rule("*", 2, False, "/fr"))
+        rule("*", 0, True, "/%65n/4").unionByName(rule("*", 1, False, "/en%2F")).unionByName(rule("*", 2, False, "/fr"))
         .unionByName(named)
     )
-    return gates.crawl_allowed(pages.select("page_id", "url"), rules, "miner").select("page_id", "allowed")
+    return gates.crawl_allowed(pages.select("page_id", "url"), rules, "MedMiner/2.1 (research)").select("page_id", "allowed")
 
 
 def fetch_log(spark, folder):
@@ -199,7 +200,7 @@ def fetch_statistics(spark, folder):
 # --- pages ----------------------------------------------------------------------------------------------------------
 
 def page_records(spark, folder):
-    records = P.page_records(table(spark, folder, "pages"), scraped_at=F.lit(SCRAPED_AT).cast("timestamp"))
+    records = P.page_records(table(spark, folder, "pages"), scraped_at=F.lit(SCRAPED_AT).cast("timestamp"), abstract_chars=500)
     return records.select(
         "url", "domain", "title", "content", "abstract", joined("authors").alias("authors"), "date",
         joined("keywords").alias("keywords"), F.size("metadata").alias("n_metadata"), F.size("images").alias("n_images"),
@@ -306,9 +307,9 @@ def entities_joined(spark, folder):
 
 
 def entity_labels(spark, folder):
-    return lexicon(spark).select("phrase", "label", E.entity_type("label").alias("type")).join(
-        table(spark, folder, "documents").agg(F.count("*").alias("documents")), how="left"
-    )
+    """Labels and their types over the entities found in the documents."""
+    found = E.entity_rows(_tagged(spark, folder), "seq").withColumn("type", E.entity_type("label"))
+    return found.groupBy("label", "type").agg(F.count("*").alias("entities"), F.countDistinct("seq").alias("documents"))
 
 
 def qa_training_rows(spark, folder):
@@ -516,11 +517,12 @@ def upserted_table(spark, folder):
 
 
 def stored_files(spark, folder):
-    """Files and size of a written table."""
+    """Files and bytes of a table of texts, which has a known size: every text and a line end."""
     path = scratch(spark, "stored")
-    writers.write_parquet(raw(spark, folder), path)
-    stats = reports.storage_statistics(spark.read.parquet(path))
-    return stats.select((F.col("output_files") > 0).alias("has_files"), (F.col("total_size_mb") > 0).alias("has_bytes"))
+    texts = table(spark, folder, "documents").where("text is not null")
+    texts.select("text").repartition(3).write.text(path)
+    stats = reports.storage_statistics(spark.read.text(path))
+    return stats.select(F.col("output_files").alias("files"), F.round(F.col("total_size_mb") * 1024 * 1024).cast("long").alias("bytes"))
 
 
 def article_xml(spark, folder):
