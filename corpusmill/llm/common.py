@@ -72,19 +72,37 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.union(stars.select("label", "label").distinct())
 
 
+def bounded_batches(rows: int = 1000) -> None:
+    """Let Spark send Arrow batches of fewer rows than its default of 10,000, which are tens of megabytes of text on both sides. A
+    setting that the caller has chosen is left alone."""
+    spark = SparkSession.getActiveSession()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into pieces of about `size` bytes of text (one row at least), so that memory does not follow row width."""
+    """Cut or join Arrow batches to about `size` bytes of text (one row at least), so that memory does not follow row width."""
+    held: list[pa.RecordBatch] = []
+    total = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
-            base = ends[start - 1] if start else 0
+            base = int(ends[start - 1]) if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))
-            yield batch.slice(start, stop - start)
-            pa.default_memory_pool().release_unused()
+            piece, weight = batch.slice(start, stop - start), int(ends[stop - 1]) - base
+            if held and total + weight > size:
+                yield pa.concat_batches(held)
+                held, total = [], 0
+                pa.default_memory_pool().release_unused()
+            held.append(piece)
+            total += weight
             start = stop
+    if held:
+        yield pa.concat_batches(held)
 
 
 def word_codes(texts: pa.Array, pattern: str = " ") -> tuple[pa.Array, np.ndarray, np.ndarray]:

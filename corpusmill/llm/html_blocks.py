@@ -9,6 +9,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpusmill.llm.common import bounded_batches
+
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^<>"'])*)>""", re.DOTALL)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.IGNORECASE)
 LABEL = re.compile(r'data-label="([01])"')
@@ -205,6 +207,7 @@ def main_text(pages: DataFrame, html: str = "html", tree: str | None = None, nam
     Null and empty pages, and pages without an article, have an empty text. Pages are read whole; no row is moved. A column
     that is already called `name` is replaced.
     """
+    bounded_batches()
     condition = tree or train_tree(pages.sparkSession)
     blocks = pages.withColumn("_page_blocks", page_blocks(html))
     taken = F.expr(f"array_join(transform(filter(_page_blocks, b -> {condition}), b -> b.text), ' ')")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from corpusmill.llm.common import slices, stage
+from corpusmill.llm.common import bounded_batches, slices, stage
 from corpusmill.llm.tokens import default_tokenizer_path, encode_documents, shared_encoder
 
 PIECES = "id long, n_tokens long, lead int, crcs array<long>, part int, lead_rank long, full_start long"
@@ -46,6 +46,7 @@ def tokenized(docs: DataFrame, text: str, id_column: str, length: int, end_id: i
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    bounded_batches()
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return narrow.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
 

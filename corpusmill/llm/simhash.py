@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.llm.common import connected_components, stage
+from corpusmill.llm.common import bounded_batches, connected_components, stage
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 1 << 16
@@ -45,6 +45,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
             found = [text_fingerprint(x.as_py() or b"", words) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["id", "digest", "fingerprint"])
 
+    bounded_batches()
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("digest"), F.col(text).cast("binary").alias("text"))
     return narrow.mapInArrow(run, "id long, digest long, fingerprint long")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from corpusmill.llm.common import shared_folder, slices, stage
+from corpusmill.llm.common import bounded_batches, shared_folder, slices, stage
 from corpusmill.llm.tokens import default_tokenizer_path, encode_documents, shared_encoder
 
 # Fixed values of the public format.
@@ -143,6 +143,7 @@ def write_frames(
             row = [f"{folder}/ids-{part:06d}.zst", part, writer.doc_ids[0], writer.doc_ids[-1], len(writer.doc_ids), tokens, size]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.string(), pa.int32(), *[pa.int64()] * 5])], names=[c.split()[0] for c in manifest_schema.split(", ")])
 
+    bounded_batches()
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranged = narrow.repartitionByRange(files, "id", "text") if files else narrow.repartitionByRange("id", "text")
     ranged.sortWithinPartitions("id", "text").mapInArrow(run, manifest_schema).write.mode("overwrite").parquet(f"{folder}/manifest")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.llm.common import slices, stage, word_codes
+from corpusmill.llm.common import bounded_batches, slices, stage, word_codes
 
 BUCKETS = 1 << 22
 WORD = re.compile(r"[^\W\d_]+")
@@ -88,6 +88,7 @@ def document_terms(docs: DataFrame, label: str) -> DataFrame:
             rows = [sorted({t for c in set(codes[a:b].tolist()) for t in terms[c]}) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["label", "terms"])
 
+    bounded_batches()
     return docs.select(F.col(label).cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "label int, terms array<int>")
 
 
@@ -130,6 +131,7 @@ def scores(docs: DataFrame, machine: Machine, text: str = "text", id_column: str
             found = machine.score_texts(batch.column(1), known)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["id", "score"])
 
+    bounded_batches()
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return narrow.mapInArrow(run, "id long, score double")
 
