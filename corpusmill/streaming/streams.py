@@ -47,32 +47,31 @@ def first_arrivals(stream: DataFrame, event_time: str, delay: str = "1 day") ->
 
 def keep_first_batches(root: str, seq: str = "seq") -> Callable[[DataFrame, int], None]:
     """`foreachBatch` function: append to `root` the rows of each batch that repeat neither the content nor (closely) the
-    title of a row kept before. The state is the written table itself. A batch is compared with the rows of earlier
-    batches only, and overwrites its own folder, so a replay gives the same result."""
+    title of a row kept before. The state is a narrow table beside it, content hash and title of every kept row, written before the
+    rows, so no batch reads or hashes an old abstract. A batch is compared with the rows of earlier
+    batches only, and overwrites its own folders, so a replay gives the same result."""
+    keys = f"{root.rstrip('/')}-keys"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = stage(batch, "batch")
         fresh = rows
         if latest_version(spark, root, batch_id) is not None:
-            before = spark.read.schema(f"{_ddl(rows)}, version int").parquet(root).where(F.col("version") < batch_id)
-            repeated = before.select(content_hash("title", "abstract").alias("_h")).distinct()
-            same = rows.select(seq, content_hash("title", "abstract").alias("_h")).join(repeated, "_h", "left_semi")
+            before = spark.read.schema("_h string, title string, version int").parquet(keys).where(F.col("version") < batch_id)
+            same = rows.select(seq, content_hash("title", "abstract").alias("_h")).join(before.select("_h").distinct(), "_h", "left_semi")
             close = similar_to_kept(rows, before, seq=seq)
             gone = stage(same.select(seq).unionByName(close.select(F.col("seq").alias(seq))).distinct(), "seen")
             fresh = rows.join(gone, seq, "left_anti")
         titled = flag_similar_titles(fresh, seq=seq)
         untitled = flag_exact(fresh.where("coalesce(title, '') = ''"), seq=seq)
         dup = titled.unionByName(untitled).where("is_duplicate").select(F.col("seq").alias(seq))
-        fresh.join(dup, seq, "left_anti").write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        kept = stage(fresh.join(dup, seq, "left_anti"), "kept")
+        kept.select(content_hash("title", "abstract").alias("_h"), "title").write.mode("overwrite").parquet(f"{keys}/version={batch_id}")
+        kept.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
 
     return run
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def daily_counts(stream: DataFrame, ts: str = "ts", limit: int = 2000, delay: str = "1 hour") -> DataFrame:
     """Requests per UTC day against the limit; `window_start` is the day."""
     return (
