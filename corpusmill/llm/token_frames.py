@@ -114,7 +114,7 @@ def write_frames(
 
     Documents are range-partitioned by id, so each task writes one file of neighbours while it reads, with memory for one batch. A
     file is written under a name of its attempt and then moved, so a task that runs again replaces its own result. Null
-    texts are empty; null ids come first; rows with equal ids are ordered by text; an empty table gives an empty manifest.
+    texts are empty; null ids come first; rows with equal ids are ordered by a hash of their text; an empty table gives an empty manifest.
     """
     folder, tokenizer = path.rstrip("/"), tokenizer or default_tokenizer_path()
     manifest_schema = "file string, part int, first_id long, last_id long, n_docs long, n_tokens long, size long"
@@ -144,9 +144,10 @@ def write_frames(
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.string(), pa.int32(), *[pa.int64()] * 5])], names=[c.split()[0] for c in manifest_schema.split(", ")])
 
     bounded_batches()
-    narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranged = narrow.repartitionByRange(files, "id", "text") if files else narrow.repartitionByRange("id", "text")
-    ranged.sortWithinPartitions("id", "text").mapInArrow(run, manifest_schema).write.mode("overwrite").parquet(f"{folder}/manifest")
+    narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(text).alias("digest"))
+    # The driver samples the range keys, so they hold no text.
+    ranged = narrow.repartitionByRange(files, "id", "digest") if files else narrow.repartitionByRange("id", "digest")
+    ranged.sortWithinPartitions("id", "digest").mapInArrow(run, manifest_schema).write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(manifest_schema).parquet(f"{folder}/manifest")
 
 
