@@ -96,7 +96,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3, full_bucket: int = 256)
     return compared.distinct().union(dense)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 3, radius: int = 3, full_bucket: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 3, radius: int = 3, full_bucket: int = 256, salts: int = 16) -> DataFrame:
     """One row (id, digest, fingerprint, label, component_id) per row of `docs`; component_id is the smallest id whose fingerprint can
     be reached over links of `radius` or fewer differing bits, label is a fingerprint that names the component.
 
@@ -110,7 +110,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     linked = nodes.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     lowest = linked.where("label is not null").groupBy("label").agg(F.min("first").alias("lowest"))
     component = F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("lowest")).alias("component_id")
-    named = stage(linked.join(lowest, "label", "left").select("fingerprint", F.coalesce("label", "fingerprint").alias("label"), component), "components")
+    # The label of a large component is a hot key: its members are salted, its one row is repeated for each salt.
+    lowest = lowest.select("label", "lowest", F.explode(F.lit(list(range(salts)))).alias("salt"))
+    linked = linked.withColumn("salt", F.pmod(F.xxhash64("fingerprint"), F.lit(salts)).cast("int"))
+    named = stage(linked.join(lowest, ["label", "salt"], "left").select("fingerprint", F.coalesce("label", "fingerprint").alias("label"), component), "components")
     return rows.join(named, "fingerprint").select("id", "digest", "fingerprint", "label", "component_id")
 
 
