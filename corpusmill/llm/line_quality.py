@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusmill.llm import simhash
 from corpusmill.llm.common import WHITE, WHITE_CHARS, stage, words_of
+from corpusmill.llm.decontamination import hash_filter, in_filter
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -46,7 +48,7 @@ def bound(value: Column, build) -> Column:
 
 
 def measured(docs: DataFrame, text: str, id_column: str, host: str, min_line_words: int) -> DataFrame:
-    """Narrow row per document: counts of the base rules, a sketch of the text, and hash and word count of its lines."""
+    """Narrow row per document: counts of the base rules, and hash and word count of its lines."""
     base = docs.select(
         F.col(id_column).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
         F.xxhash64(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"),
@@ -68,28 +70,49 @@ def measured(docs: DataFrame, text: str, id_column: str, host: str, min_line_wor
         (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("windows")).cast("long").alias("n_repeat_words"),
-        F.coalesce(F.array_min("windows"), F.array_min("w"), F.lit(0)).alias("sketch"),
         F.filter(lines, lambda x: x["n"] >= min_line_words).alias("lines"),
     )
 
 
-def common_lines(rows: DataFrame, max_documents: int, spread: float) -> DataFrame:
+def with_common(lines: DataFrame, common: DataFrame, key: str, salts: int) -> DataFrame:
+    """Rows of `lines` (host, h and others) whose line is in `common` (host, h). A common line is by nature a hot key: its occurrences
+    are salted by `key`, and its single row is repeated for each salt."""
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    spread_out = common.select("host", "h", F.explode(F.lit(list(range(salts)))).alias("salt"))
+    return salted.join(spread_out, ["host", "h", "salt"]).drop("salt")
+
+
+def copy_groups(docs: DataFrame, text: str, digests: DataFrame) -> DataFrame:
+    """(digest, label) of the texts with the given digests: near duplicates by the rule of `simhash.near_duplicates`, among these
+    texts, share a label. A constant Bloom filter keeps the other texts from being fingerprinted."""
+    bits = hash_filter(digests.select(F.col("digest").alias("h")))
+    wanted = docs.select(F.xxhash64(text).alias("digest"), F.col(text).alias("text")).where(in_filter(bits, F.col("digest")))
+    prints = wanted.select("digest", simhash.native_fingerprint(F.col("text")).alias("fingerprint")).distinct()
+    prints = stage(prints.join(digests, "digest", "left_semi"), "prints")
+    labels = simhash.connected_components(simhash.fingerprint_links(prints.select("fingerprint").distinct()))
+    labels = stage(labels.select(F.col("node").alias("fingerprint"), "label"), "labels")
+    return prints.join(labels, "fingerprint", "left").select("digest", F.coalesce("label", "fingerprint").alias("label"))
+
+
+def common_lines(rows: DataFrame, docs: DataFrame, text: str, max_documents: int, salts: int) -> DataFrame:
     """(host, h) of lines above the limit: they stand in more than `max_documents` distinct documents of a host.
 
-    Exact copies of a document count once (same digest). Documents with the same sketch, the smallest hash of a
-    five-word window, count once too, and a line whose documents share sketches so much that fewer than `spread` of them are
-    distinct is repeated content (near copies), which is left to near-duplicate removal. Every step is a hash
-    aggregate that combines before its shuffle, so a line that a third of all documents hold arrives as one row per task.
+    Exact copies of a document count once (same digest), and so do near copies (one component of near duplicates), which
+    near-duplicate removal brings down to one. Components are built only for documents with a line that is above the limit by
+    digests. Every count is a hash aggregate that combines before its shuffle, so a line that a third of all documents
+    hold arrives as one row per task.
     """
-    found = rows.select("host", "digest", "sketch", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    once = found.select("host", "h", "digest", "sketch").distinct()
-    by_sketch = once.groupBy("host", "h", "sketch").agg(F.count("*").alias("n"))
-    counted = by_sketch.groupBy("host", "h").agg(F.count("*").alias("sketches"), F.sum("n").alias("documents"))
-    return counted.where((F.col("sketches") > max_documents) & (F.col("sketches") >= spread * F.col("documents"))).select("host", "h")
+    found = rows.select("host", "digest", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    once = found.distinct()
+    many = stage(once.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).select("host", "h"), "many")
+    held = stage(with_common(once, many, "digest", salts), "held")
+    groups = stage(copy_groups(docs, text, stage(held.select("digest").distinct(), "digests")), "groups")
+    apart = held.join(groups, "digest").select("host", "h", "label").distinct()
+    return apart.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).select("host", "h")
 
 
 def line_verdicts(
-    docs: DataFrame, text: str = "text", id_column: str = "doc_id", host: str = "source", max_documents: int = 10, spread: float = 0.25,
+    docs: DataFrame, text: str = "text", id_column: str = "doc_id", host: str = "source", max_documents: int = 10,
     min_line_words: int = 3, max_removed: float = 0.65, min_words: int = 10, salts: int = 32,
 ) -> DataFrame:
     """One row per row of `docs`: id, digest (of the text), host, the base counts, base_failed, kept, removed_words and removed (hashes of
@@ -103,16 +126,13 @@ def line_verdicts(
     the same verdict; an empty table gives no rows; other columns are not read.
     """
     rows = stage(measured(docs, text, id_column, host, min_line_words).select("*", F.monotonically_increasing_id().alias("row")), "lines")
-    common = stage(common_lines(rows, max_documents, spread), "common")
-    # A common line is by nature a hot key: its occurrences are salted, and its single row is repeated for each salt.
-    held = rows.where(F.size("lines") > 0).select("row", "host", F.explode("lines").alias("line"))
-    held = held.select("row", "host", "line.h", "line.n", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"))
-    spread_out = common.select("host", "h", F.explode(F.lit(list(range(salts)))).alias("salt"))
-    removed = held.join(spread_out, ["host", "h", "salt"]).groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed"))
+    common = stage(common_lines(rows, docs, text, max_documents, salts), "common")
+    held = rows.where(F.size("lines") > 0).select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.n")
+    removed = with_common(held, common, "row", salts).groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed"))
     lost = F.coalesce("removed_words", F.lit(0))
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (lost > max_removed * F.col("n_words")) | (F.col("n_words") - lost < min_words)
-    return rows.drop("lines", "sketch").join(removed, "row", "left").select(
+    return rows.drop("lines").join(removed, "row", "left").select(
         "id", "digest", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
         (~base_failed & ~depleted).alias("kept"), lost.alias("removed_words"), "removed",
     )

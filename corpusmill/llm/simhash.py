@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.llm.common import bounded_batches, connected_components, stage
+from corpusmill.llm.common import bounded_batches, connected_components, stage, words_of
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 1 << 16
@@ -37,6 +37,40 @@ def text_fingerprint(text: bytes, words: int) -> int:
     return bit_majority(map(xxh64_intdigest, shingles, repeat(42)))
 
 
+def native_fingerprint(text: Column, words: int = 3) -> Column:
+    """The fingerprint of `text_fingerprint` as a SQL expression. Long j of a chunk of 126 hashes counts the bits j, j + 8, ... in
+    its eight bytes, which 126 cannot overflow."""
+    chunk, lanes = 126, F.lit(0x0101010101010101)
+
+    def bind(value: Column, build) -> Column:
+        return F.transform(F.array(value), build)[0]
+
+    def hashes(w: Column) -> Column:
+        whole = F.array(F.xxhash64(F.array_join(w, " ")))
+        shingle = lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(w, i + k) for k in range(words))))
+        return F.when(F.size(w) >= words, F.transform(F.sequence(F.lit(0), F.size(w) - words), shingle)).otherwise(F.when(F.size(w) > 0, whole))
+
+    def counted(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(h) - 1) / chunk).cast("int"))
+        part = lambda i: F.slice(h, i * chunk + 1, F.lit(chunk))
+        add = lambda j: lambda a, x: a + F.shiftrightunsigned(x, j).bitwiseAND(lanes)
+        count = lambda p: F.array(*(F.aggregate(p, F.lit(0).cast("long"), add(j)) for j in range(8)))
+        return F.transform(starts, lambda i: bind(part(i), count))
+
+    def majority(h: Column) -> Column:
+        def bits(c: Column) -> Column:
+            ones = lambda p: F.aggregate(c, F.lit(0), lambda a, x: a + F.shiftrightunsigned(F.get(x, F.lit(p % 8)), 8 * (p // 8)).bitwiseAND(F.lit(255)).cast("int"))
+            set_bits = [F.when(2 * ones(p) > F.size(h), F.lit(signed(1 << p))).otherwise(F.lit(0).cast("long")) for p in range(64)]
+            while len(set_bits) > 1:
+                set_bits = [a.bitwiseOR(b) for a, b in zip(set_bits[::2], set_bits[1::2])]
+            return set_bits[0]
+
+        return bind(counted(h), bits)
+
+    upper, lower = (bytes(range(k, k + 26)).decode() for k in (65, 97))
+    return F.coalesce(bind(bind(words_of(F.translate(text, upper, lower)), hashes), majority), F.lit(0).cast("long"))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 3) -> DataFrame:
     """(id, digest, fingerprint) per row, without a shuffle. The digest tells rows with equal or null ids apart."""
 

@@ -153,6 +153,29 @@ def test_common_lines_and_depletion(spark):
     assert kept[200]["text"] == boilerplate_docs()[35][1]
 
 
+def test_native_fingerprint_is_the_fingerprint(spark, sample, awkward):
+    docs = sample.select("doc_id", "text").limit(100).union(awkward.select("doc_id", "text"))
+    for r in docs.select("text", simhash.native_fingerprint(F.col("text")).alias("f")).collect():
+        assert r["f"] & (2**64 - 1) == slow_fingerprint(r["text"])
+
+
+def test_near_copies_and_templates_do_not_exempt_a_line(spark):
+    shell = [prose(700 + k, 60) for k in range(5)]
+    docs = [(i, "\n".join([*shell, prose(800 + i, 54)]), "template") for i in range(40)]  # 300 shared words, 54 own
+    line = "One line that all of this host's documents hold."
+    base = prose(900, 600).split(" ")
+    for i in range(60):  # one group of near copies beside 20 documents with the same line
+        words = list(base)
+        words[9 * i] = f"changed{i}"
+        docs.append((100 + i, f"{' '.join(words)}\n{line}", "copies"))
+    docs += [(200 + i, f"{prose(1000 + i, 60)}\n{line}", "copies") for i in range(20)]
+    docs += [(300 + i, docs[40 + i][1], "few") for i in range(60)] + [(400 + i, f"{prose(1100 + i, 60)}\n{line}", "few") for i in range(8)]
+    found = {r["id"]: r for r in line_quality.line_verdicts(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert all(not found[i]["kept"] and found[i]["removed_words"] == 300 for i in range(40))
+    assert all(found[i]["kept"] and found[i]["removed_words"] == 9 for i in [*range(100, 160), *range(200, 220)])
+    assert all(found[i]["kept"] and found[i]["removed_words"] == 0 for i in [*range(300, 360), *range(400, 408)])
+
+
 def test_line_rules_on_awkward_rows(awkward, nothing):
     assert line_quality.line_verdicts(awkward).count() == awkward.count()
     assert line_quality.line_verdicts(nothing).count() == 0
