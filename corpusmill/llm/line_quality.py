@@ -47,7 +47,7 @@ def bound(value: Column, build) -> Column:
     return F.transform(F.array(value), build)[0]
 
 
-def measured(docs: DataFrame, text: str, id_column: str, host: str, min_line_words: int) -> DataFrame:
+def measured(docs: DataFrame, text: str, id_column: str, host: str) -> DataFrame:
     """Narrow row per document: counts of the base rules, and hash and word count of its lines."""
     base = docs.select(
         F.col(id_column).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
@@ -70,7 +70,7 @@ def measured(docs: DataFrame, text: str, id_column: str, host: str, min_line_wor
         (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("windows")).cast("long").alias("n_repeat_words"),
-        F.filter(lines, lambda x: x["n"] >= min_line_words).alias("lines"),
+        F.filter(lines, lambda x: x["h"] != line_key(F.lit(""))).alias("lines"),
     )
 
 
@@ -113,19 +113,19 @@ def common_lines(rows: DataFrame, docs: DataFrame, text: str, max_documents: int
 
 def line_verdicts(
     docs: DataFrame, text: str = "text", id_column: str = "doc_id", host: str = "source", max_documents: int = 10,
-    min_line_words: int = 3, max_removed: float = 0.65, min_words: int = 10, salts: int = 32,
+    max_removed: float = 0.5, min_words: int = 10, salts: int = 32,
 ) -> DataFrame:
     """One row per row of `docs`: id, digest (of the text), host, the base counts, base_failed, kept, removed_words and removed (hashes of
     the lines to remove).
 
     base_failed: fewer than `min_words` words, or over a fifth of the words lie in five-word windows that the text repeats. Of
     the others those are depleted, and not kept, that lose over `max_removed` of their words with the common lines of their host
-    (`common_lines`; lines of fewer than `min_line_words` words are never removed) or keep fewer than `min_words`.
+    (`common_lines`; a line counts if it holds a letter or digit) or keep fewer than `min_words`.
 
     A null text counts as empty and fails the base rule; null hosts are one host of their own; repeated rows give a row each, with
     the same verdict; an empty table gives no rows; other columns are not read.
     """
-    rows = stage(measured(docs, text, id_column, host, min_line_words).select("*", F.monotonically_increasing_id().alias("row")), "lines")
+    rows = stage(measured(docs, text, id_column, host).select("*", F.monotonically_increasing_id().alias("row")), "lines")
     common = stage(common_lines(rows, docs, text, max_documents, salts), "common")
     held = rows.where(F.size("lines") > 0).select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.n")
     removed = with_common(held, common, "row", salts).groupBy("row").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed"))

@@ -176,6 +176,19 @@ def test_near_copies_and_templates_do_not_exempt_a_line(spark):
     assert all(found[i]["kept"] and found[i]["removed_words"] == 0 for i in [*range(300, 360), *range(400, 408)])
 
 
+def test_short_lines_and_the_limit_of_depletion(spark):
+    menu = ["Home", "Log in", "Read more", "Contact", "About us", "Shop", "Help", "Search"]  # 11 words
+    docs = [(i, "\n".join([*menu, prose(1200 + i, 30), "---"]), "menu") for i in range(20)]
+    docs += [(100 + i, "\n".join([*menu, f"Visit{chr(97 + i)} page"]), "menu") for i in range(5)]  # a menu and nothing else
+    shell = prose(1300, 60)
+    docs += [(200 + i, f"{shell}\n{prose(1400 + i, 61)}", "half") for i in range(20)]  # loses just under a half
+    docs += [(300 + i, f"{shell}\n{prose(1500 + i, 59)}", "half") for i in range(20)]  # and just over
+    found = {r["id"]: r for r in line_quality.line_verdicts(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert all(found[i]["kept"] and found[i]["removed_words"] == 11 for i in range(20))
+    assert all(not found[i]["base_failed"] and not found[i]["kept"] for i in range(100, 105))
+    assert all(found[i]["kept"] for i in range(200, 220)) and not any(found[i]["kept"] for i in range(300, 320))
+
+
 def test_line_rules_on_awkward_rows(awkward, nothing):
     assert line_quality.line_verdicts(awkward).count() == awkward.count()
     assert line_quality.line_verdicts(nothing).count() == 0
