@@ -73,19 +73,51 @@ def alignments(docs: DataFrame, items: DataFrame, seeds=SEEDS, salts: int = 16)
     return rows.join(salted, ["h", "salt"]).select("id", "digest", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
+def short_overlaps(base: DataFrame, items: DataFrame, generic_words: int, generic_share: float, salts: int) -> DataFrame:
+    """Rows as of `contaminated` for items (item, w) shorter than a window: a document that holds all words of the item in a row.
+
+    Placements of the lengths that occur are tested against the filter inside the row; a hit is verified word by word. An item of
+    fewer than `generic_words` words is a common phrase, and left out, if over 10 documents and over `generic_share` of all hold it."""
+    lengths = sorted(r["n"] for r in items.select(F.size("w").alias("n")).distinct().collect())  # fewer than a window has words
+    if not lengths:
+        return base.sparkSession.createDataFrame([], base.select("id", "digest").schema).join(items.select("item").where("false")).selectExpr(
+            "id", "digest", "item", "0 start", "0 n_words", "0 n_matches")
+    keys = items.select("item", F.col("w").alias("iw"), F.xxhash64("w").alias("h"))
+    bits = hash_filter(keys)
+
+    def hits(n: int) -> Column:
+        cut = lambda i: F.slice("w", i + 1, n)
+        found = lambda i: F.when(in_filter(bits, F.xxhash64(cut(i))), F.struct(i.alias("at"), cut(i).alias("dw"), F.xxhash64(cut(i)).alias("h")))
+        every = F.transform(F.sequence(F.lit(0), F.size("w") - n), found)
+        return F.when(F.size("w") >= n, F.filter(every, lambda x: x.isNotNull()))
+
+    hashed = base.select("id", "digest", word_hashes(F.col("text")).alias("w"))
+    none = F.array().cast("array<struct<at:int,dw:array<bigint>,h:bigint>>")
+    rows = hashed.select("id", "digest", F.explode_outer(F.concat(*(F.coalesce(hits(n), none) for n in lengths))).alias("hit")).where("hit is not null")
+    rows = rows.select("id", "digest", "hit.*", F.pmod(F.col("digest"), F.lit(salts)).cast("int").alias("salt"))
+    salted = keys.select("*", F.explode(F.lit(list(range(salts)))).alias("salt"))
+    found = rows.join(salted, ["h", "salt"]).where(F.col("dw") == F.col("iw"))
+    found = stage(found.groupBy("id", "digest", "item").agg(F.min("at").alias("start"), F.min(F.size("iw")).alias("n_words")), "short")
+    often = found.where(F.col("n_words") < generic_words).groupBy("item").agg(F.count("*").alias("n"))
+    generic = often.where((F.col("n") > 10) & (F.col("n") > generic_share * base.count())).select(F.col("item").alias("i"))
+    return found.join(generic, F.col("item").eqNullSafe(F.col("i")), "left_anti").select("id", "digest", "item", "start", "n_words", F.col("n_words").alias("n_matches"))
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, text: str = "text", id_column: str = "doc_id", item_text: str = "text", item_column: str = "item_id",
-    window: int = 13, substitutions: int = 2, salts: int = 16,
+    window: int = 13, substitutions: int = 2, salts: int = 16, generic_words: int = 5, generic_share: float = 0.001,
 ) -> DataFrame:
     """(id, digest, item, start, n_words, n_matches), one row per document and item with a verified overlap.
 
     Overlap: in one alignment, without insertions, some `window` consecutive words differ in at most `substitutions`. start is
-    the document's first overlapping word, n_words and n_matches cover all such windows of the best alignment. Items shorter
-    than a window are common phrases rather than leaks and are left out, as are null texts. Repeated rows (same id
+    the document's first overlapping word, n_words and n_matches cover all such windows of the best alignment. An item shorter
+    than a window overlaps where all its words stand in a row (`short_overlaps`). Null texts are left out. Repeated rows (same id
     and text) share one result row, null ids are kept as null, repeated items are reported each; empty tables give no rows.
     """
     base = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
-    tests = items.select(F.col(item_column).alias("item"), word_hashes(F.col(item_text)).alias("w")).where(F.size("w") >= window).distinct()
+    every = items.select(F.col(item_column).alias("item"), word_hashes(F.col(item_text)).alias("w")).distinct()
+    tests = every.where(F.size("w") >= window)
+    short = short_overlaps(base, every.where(F.size("w").between(1, window - 1)), generic_words, generic_share, salts)
     found = stage(alignments(base, tests, salts=salts), "alignments")
     wanted = found.select(F.col("id").alias("i"), F.col("digest").alias("d")).distinct()
     texts = base.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi").dropDuplicates(["id", "digest"])
@@ -109,7 +141,8 @@ def contaminated(
     cut = cut.select("id", "digest", "item", (F.col("begin") + start).alias("start"), (end - start).alias("n_words"),
                      F.size(F.filter(F.slice("equal", start + 1, end - start), lambda x: x)).alias("n_matches"))
     best = cut.groupBy("id", "digest", "item").agg(F.max(F.struct("n_matches", -F.col("n_words"), -F.col("start"))).alias("best"))
-    return best.select("id", "digest", "item", (-F.col("best.col3")).alias("start"), (-F.col("best.col2")).alias("n_words"), "best.n_matches")
+    found = best.select("id", "digest", "item", (-F.col("best.col3")).alias("start"), (-F.col("best.col2")).alias("n_words"), "best.n_matches")
+    return found.unionByName(short)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", id_column: str = "doc_id", **settings) -> DataFrame:

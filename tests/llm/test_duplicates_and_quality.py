@@ -249,6 +249,16 @@ def test_decontamination_of_awkward_rows(spark, awkward, nothing, bench_items):
     assert decontamination.drop_contaminated(awkward, items.where("false")).count() == awkward.count()
 
 
+def test_short_items_are_found_whole(spark):
+    items = spark.createDataFrame([(1, "Which river, in 1849, flows through Ulm?"), (2, "Name one!"), (3, "common words"), (4, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
+    docs = [(i, f"{prose(i, 20)} common words {prose(i + 50, 20)}") for i in range(30)]
+    docs += [(100, f"{prose(1, 9)} which river in 1849 flows through ulm {prose(2, 9)}"), (101, "which river in 1849 flows through"), (102, "x name one"), (103, "one two three four five six seven eight nine ten eleven twelve"), (104, None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r["id"], r["item"], r["start"], r["n_words"], r["n_matches"]) for r in decontamination.contaminated(table, items).collect()}
+    assert found == {(100, 1, 9, 7, 7), (102, 2, 1, 2, 2), (103, 4, 0, 12, 12)}
+    assert {r["doc_id"] for r in decontamination.drop_contaminated(table, items).collect()} == {*range(30), 101, 104}
+
+
 def test_bit_majority_blocks():
     values = [random.Random(1).getrandbits(64) for _ in range(simhash.BLOCK + 5)]
     bits = np.array(values, "<u8")
