@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusmill.llm import decontamination, html_blocks, license_scan, line_quality, packing, secret_tags, simhash, token_frames, toxicity, warc_revisits
+from corpusmill.llm import (
+    decontamination, html_blocks, language_id, license_scan, line_quality, merkle_manifest, packing, secret_tags, simhash, source_divergence,
+    token_frames, toxicity, warc_revisits,
+)
 from corpusmill.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +88,26 @@ def op2_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("record_id", "canonical", F.unix_timestamp("ts").alias("seconds"), "response_id", F.unix_timestamp("response_ts").alias("response_seconds"), "status", "headers")
 
 
+@register
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.divergences(read_table(spark, folder, "documents"))
+
+
+@register
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = merkle_manifest.audited(read_table(spark, folder, "documents"), {"text": merkle_manifest.lower_ascii(F.col("text"))}, tampered)
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@register
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    found = language_id.languages(docs, language_id.train(docs.where(language_id.learnable())))
+    held_out = ~F.coalesce(language_id.learnable("id"), F.lit(True))
+    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 # The pages of the tables keep their article in one element; the SQL states its text. References decode after the markup is gone.
 ORACLE["op1_html_blocks"] = """
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS t FROM pages),
@@ -135,3 +158,71 @@ merged AS (
 SELECT id AS record_id, canonical, s AS seconds, rid AS response_id, rs AS response_seconds, status,
   CASE WHEN status IN ('resolved', 'unverified') THEN '{' || array_to_string(entries, ',') || '}' END AS headers FROM merged
 """
+
+ORACLE["op11_source_divergence"] = """
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+w AS (SELECT lang, source, r, unnest(t) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS m FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS (SELECT w.lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(m) AS total FROM kept GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+sums AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (coalesce(s.total, 0) + v.v) AS p,
+    1 + (1000000000::HUGEINT * (k.m + 1)) // (v.total + v.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN sums s USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+sides AS (SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+between_them AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT s.lang, s.source, 'pair' AS part, s.item, coalesce(value, 0)::BIGINT AS value FROM sides s LEFT JOIN between_them b ON s.lang = b.lang AND s.source = b.source AND s.item = b.item),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM dense WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def merkle_sql(levels: int = 9) -> str:
+    """Both kinds of trees level by level: c0, c1, ... are the nodes, a proof folds the rows' digests upwards. Nine levels hold 8^9 rows."""
+
+    def field(name: str) -> str:
+        return f"coalesce(octet_length(encode({name}::VARCHAR))::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+    def tree(prefix: str, leaves: str) -> list[str]:
+        parts = [f"{prefix}0 AS (SELECT tree, pos, n, digest FROM {leaves})"]
+        for k in range(levels):
+            parts.append(f"{prefix}r{k} AS (SELECT tree, pos // 8 AS run, any_value(n) AS n, list(digest ORDER BY pos) AS kids FROM {prefix}{k} GROUP BY tree, pos // 8)")
+            parts.append(f"{prefix}{k + 1} AS (SELECT tree, run AS pos, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(kids, '')) ELSE kids[1] END AS digest FROM {prefix}r{k})")
+        return parts
+
+    def climb(prefix: str, name: str, tree_column: str, rows: str) -> list[str]:
+        """(columns of rows, proof, folded): each level adds the siblings and hashes, where the tree still has several nodes."""
+        parts, last = [], rows
+        for k in range(levels):
+            parts.append(f"""{name}{k} AS (SELECT x.* REPLACE (x.pos // 8 AS pos,
+              x.proof || CASE WHEN r.n > 1 THEN array_to_string(r.kids[1:x.pos % 8], '') || array_to_string(r.kids[x.pos % 8 + 2:], '') ELSE '' END AS proof,
+              CASE WHEN r.n > 1 THEN sha256(array_to_string(r.kids[1:x.pos % 8], '') || x.folded || array_to_string(r.kids[x.pos % 8 + 2:], '')) ELSE x.folded END AS folded)
+              FROM {last} x JOIN {prefix}r{k} r ON r.tree = x.{tree_column} AND r.run = x.pos // 8)""")
+            last = f"{name}{k}"
+        return parts
+
+    fields = [field(f) for f in ("doc_id", "source", "lang", "n_chars", "text")]
+    lowered = fields[:-1] + [field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")]
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))))"""
+    parts = [
+        f"""d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({' || '.join(fields)}) AS digest, CASE WHEN {crc} % 3 = 0 THEN sha256({' || '.join(lowered)}) END AS altered FROM documents)""",
+        """leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d)""",
+        *tree("c", "leaves"),
+        f"""langs AS (SELECT tree AS lang_tree, 'top' AS tree, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM c{levels})""",
+        *tree("t", "langs"),
+        "asked AS (SELECT doc_id, digest AS leaf, tree, pos, '' AS proof, coalesce(altered, digest) AS folded FROM leaves)",
+        *climb("c", "x", "tree", "asked"),
+        f"""upper_part AS (SELECT x.doc_id, x.leaf, l.digest AS subroot, l.tree, l.pos, x.proof, x.folded FROM x{levels - 1} x JOIN langs l ON l.lang_tree = x.tree)""",
+        *climb("t", "y", "tree", "upper_part"),
+    ]
+    return f"""WITH {', '.join(parts)}
+    SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.digest AS verified FROM y{levels - 1} y JOIN t{levels} t ON t.tree = y.tree"""
+
+
+ORACLE["op12_merkle_manifest"] = merkle_sql()
