@@ -64,8 +64,9 @@ class Model:
         """Mean embedding of each run of places; runs are not empty."""
         return np.add.reduceat(self.embeddings[places], offsets[:-1], axis=0) / np.diff(offsets)[:, None]
 
-    def fit(self, places: np.ndarray, offsets: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float = 2.0, batch: int = 64, seed: int = 7) -> None:
-        """Stochastic gradient descent on the cross-entropy over shuffled batches; the rate falls linearly to zero."""
+    def fit(self, places: np.ndarray, offsets: np.ndarray, labels: np.ndarray, epochs: int = 4, rate: float = 2.0, lift: float = 50, batch: int = 64, seed: int = 7) -> None:
+        """Stochastic gradient descent on the cross-entropy over shuffled batches; the rate falls linearly to zero. A mean over many subwords
+        leaves each a small gradient, so embeddings take steps `lift` times as long."""
         rng = np.random.default_rng(seed)
         sizes, starts = np.diff(offsets), offsets[:-1]
         steps, step = epochs * -(-len(labels) // batch), 0
@@ -89,8 +90,7 @@ class Model:
                 touched, place = np.unique(used, return_inverse=True)
                 slope = np.zeros((len(touched), back.shape[1]))
                 np.add.at(slope, place, back)
-                # A mean over many subwords leaves each a small gradient; its scale is given back.
-                self.embeddings[touched] -= now * 50 * slope
+                self.embeddings[touched] -= now * lift * slope
                 self.embeddings[-1] = 0
                 step += 1
 
@@ -165,7 +165,7 @@ def with_subwords(rows: DataFrame) -> DataFrame:
 
 def train(
     docs: DataFrame, text: str = "text", id_column: str = "doc_id", lang: str = "lang", documents: int = 1500, pieces: int = 4, words: int = 24,
-    size: int = 16, lost: float = 0.005, rows: int = 24_000,
+    size: int = 16, lost: float = 0.005, rows: int = 12_000,
 ) -> Model:
     """Fit on a bounded sample of labelled rows: at most `documents` rows of each language, `pieces` runs of up to `words` words of each
     (`training_pieces`), and `rows` runs in all (smallest hash), which go to the driver. Short runs teach the model to decide on
