@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,24 +10,61 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusmill.llm.common import bounded_batches, stage
+from corpusmill.llm.common import bounded_batches, slices, stage, word_codes
 
 SCALE = 1_000_000_000
 #: What a term is made of, byte by byte: ASCII letters (lower-cased) and all bytes of other characters. The rest parts terms.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 STRIPES = "lang string, term string, documents long, sources array<string>, counts array<long>"
 #: Counts that a task holds before it spills its stripes; pairs of sources it holds, and compares at once.
-HELD_COUNTS = 200_000
+HELD_COUNTS = 600_000
 HELD_PAIRS = 200_000
 BLOCK_PAIRS = 1 << 20
-
-
-def stripe_batch(rows: list[tuple[str, bytes, int, list[str], list[int]]]) -> pa.RecordBatch:
-    langs, terms, documents, sources, counts = zip(*rows) if rows else ([],) * 5
-    arrays = [
-        pa.array(langs, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(documents, pa.int64()),
-        pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())),
-    ]
+#: Rows of an Arrow batch of stripes.
+ROWS = 10_000
+
+
+def counted(batch: pa.RecordBatch) -> pa.Table:
+    """(lang, source, term, count, documents) of a batch of documents (lang, source, text)."""
+    texts = batch.column(2).cast(pa.binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2][bounds[0] : bounds[-1]].to_pybytes().translate(TERM_BYTES) if texts.buffers()[2] else b""
+    clean = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(bounds - bounds[0])), pa.py_buffer(data)])
+    terms, codes, offsets = word_codes(clean)
+    document = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    full = codes != pc.index(terms, "").as_py()
+    pairs, times = np.unique(document[full] * len(terms) + codes[full], return_counts=True)
+    document, term = np.divmod(pairs, max(1, len(terms)))
+    langs, sources = (pc.dictionary_encode(batch.column(k)) for k in (0, 1))
+    lang, source = (x.indices.to_numpy().astype(np.int64)[document] for x in (langs, sources))
+    keys, place = np.unique((lang * len(sources.dictionary) + source) * len(terms) + term, return_inverse=True)
+    counts, documents = np.zeros(len(keys), np.int64), np.bincount(place, minlength=len(keys))
+    np.add.at(counts, place, times)
+    group, term = np.divmod(keys, max(1, len(terms)))
+    lang, source = np.divmod(group, max(1, len(sources.dictionary)))
+    return pa.table({"lang": langs.dictionary.take(pa.array(lang)), "source": sources.dictionary.take(pa.array(source)), "term": terms.take(pa.array(term)), "count": counts, "documents": documents})
+
+
+def combined(tables: list[pa.Table]) -> pa.Table:
+    """Counts added up by (lang, source, term), in a hash table."""
+    found = pa.concat_tables(tables).group_by(["lang", "source", "term"], use_threads=False).aggregate([("count", "sum"), ("documents", "sum")])
+    return found.select(["lang", "source", "term", "count_sum", "documents_sum"]).rename_columns(["lang", "source", "term", "count", "documents"])
+
+
+def as_stripes(table: pa.Table) -> pa.RecordBatch:
+    """A row per (lang, term) with its documents, sources and counts."""
+    table = table.combine_chunks()
+    langs, terms = (pc.dictionary_encode(table.column(c).combine_chunks()) for c in ("lang", "term"))
+    key = langs.indices.to_numpy().astype(np.int64) * max(1, len(terms.dictionary)) + terms.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    offsets = pa.array(np.append(starts, len(key)).astype(np.int32))
+    lang, term = np.divmod(key[starts], max(1, len(terms.dictionary)))
+    pick = lambda c: table.column(c).combine_chunks().take(pa.array(order))
+    documents = np.add.reduceat(pick("documents").to_numpy(), starts) if len(key) else np.zeros(0, np.int64)
+    arrays = [langs.dictionary.take(pa.array(lang)), terms.dictionary.take(pa.array(term)), pa.array(documents, pa.int64())]
+    arrays += [pa.ListArray.from_arrays(offsets, pick(c)) for c in ("source", "count")]
     return pa.RecordBatch.from_arrays(arrays, names=["lang", "term", "documents", "sources", "counts"])
 
 
@@ -36,60 +73,65 @@ def fold(docs: DataFrame, held: int = HELD_COUNTS) -> DataFrame:
     spills all its stripes when they hold `held` counts, so its memory does not follow the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes: dict[str, dict[bytes, list]] = defaultdict(dict)
-        total = 0
+        tables: list[pa.Table] = []
 
         def spilled() -> Iterator[pa.RecordBatch]:
-            for lang, terms in stripes.items():
-                rows = [(lang, term, s[0], list(s[1]), list(s[1].values())) for term, s in terms.items()]
-                terms.clear()
-                for i in range(0, len(rows), 10_000):
-                    yield stripe_batch(rows[i : i + 10_000])
-
-        for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                terms = stripes[lang]
-                for term, count in Counter(text.as_py().translate(TERM_BYTES).split()).items():
-                    stripe = terms.get(term)
-                    if stripe is None:
-                        stripe = terms[term] = [0, {}]
-                    stripe[0] += 1
-                    if source in stripe[1]:
-                        stripe[1][source] += count
-                    else:
-                        stripe[1][source] = count
-                        total += 1
-                if total >= held:
+            stripes = as_stripes(combined(tables)) if tables else None
+            tables.clear()
+            for i in range(0, stripes.num_rows if stripes else 0, ROWS):
+                yield stripes.slice(i, ROWS)
+
+        for batch in slices(batches, "text", 4 << 20):
+            tables.append(counted(batch))
+            if sum(t.num_rows for t in tables) >= held:
+                tables[:] = [combined(tables)]
+                # What combining does not halve is spilled, so that it is not combined again and again.
+                if tables[0].num_rows >= held // 2:
                     yield from spilled()
-                    total = 0
         yield from spilled()
 
     bounded_batches()
-    return docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(run, STRIPES)
+    return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, STRIPES)
+
+
+def added(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Neighbouring stripes of the same (lang, term) as one."""
+    lang, term, documents, sources, counts = batch.columns
+    new = pc.or_(*(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)) for c in (lang, term))).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.concatenate([[True], new]))
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+    coded = pc.dictionary_encode(sources.flatten())
+    entry = np.repeat(run, sources.value_lengths().to_numpy())
+    keys, place = np.unique(entry * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, place, counts.flatten().to_numpy())
+    entry, source = np.divmod(keys, max(1, len(coded.dictionary)))
+    offsets = pa.array(np.searchsorted(entry, np.arange(len(starts) + 1)).astype(np.int32))
+    at = pa.array(starts)
+    arrays = [
+        lang.take(at), term.take(at), pa.array(np.add.reduceat(documents.to_numpy(), starts), pa.int64()),
+        pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(source))), pa.ListArray.from_arrays(offsets, pa.array(total)),
+    ]
+    return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, batch.schema)], schema=batch.schema)
 
 
 def merge(stripes: DataFrame) -> DataFrame:
-    """One stripe per (lang, term). Spilled stripes meet by key in sorted order and are added one after the other, so a task holds
-    one stripe; a frequent term arrives once per spill, not once per document."""
+    """One stripe per (lang, term). Spilled stripes meet by key in sorted order and neighbours are added up, so a task holds one batch and
+    the stripe that may go on in the next; a frequent term arrives once per spill, not once per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, documents, counts, rows = None, 0, {}, []
+        last = None
         for batch in batches:
-            for lang, term, n, sources, found in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, term) != key:
-                    if key is not None:
-                        rows.append((key[0], key[1].encode(), documents, list(counts), list(counts.values())))
-                    key, documents, counts = (lang, term), 0, {}
-                documents += n
-                for source, count in zip(sources, found):
-                    counts[source] = counts.get(source, 0) + count
-            yield stripe_batch(rows)
-            rows = []
-        if key is not None:
-            yield stripe_batch([(key[0], key[1].encode(), documents, list(counts), list(counts.values()))])
+            if not batch.num_rows:
+                continue
+            whole = added(batch if last is None else pa.concat_batches([last, batch]))
+            yield whole.slice(0, whole.num_rows - 1)
+            last = whole.slice(whole.num_rows - 1)
+        if last is not None:
+            yield last
 
     bounded_batches()
-    return stripes.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, STRIPES)
+    return stripes.repartition("lang", "term").sortWithinPartitions("term", "lang").mapInArrow(run, STRIPES)
 
 
 def quotient(a: Column, b: Column) -> Column:
