@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
-import zlib
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusmill.llm.common import bounded_batches, slices, stage, word_codes
+from corpusmill.llm.common import bounded_batches, slices, stage
 
-BUCKETS = 1 << 20
-GRAMS = (1, 2, 3, 4)
-#: A run of letters, with the marks that belong to them.
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+BUCKET_BITS = 20
+#: Subwords are runs of 1 to 4 characters of a word, of which the first and the last may be its border.
+LONGEST = 4
+BORDER = 1
 UNKNOWN = "und"
-#: Pieces of up to this many characters are remembered by a task, and so many of them.
-SHORT_PIECE = 64
-KNOWN_PIECES = 200_000
-
-
-def subwords(piece: str) -> list[int]:
-    """Hashed subwords of one blank-separated piece: the grams of its words, with their borders marked."""
-    found = []
-    for word in WORD.findall(piece.lower()):
-        marked = f"<{word}>".encode("utf-32-le")
-        for n in GRAMS:
-            size = 4 * n
-            found += [zlib.crc32(marked[i : i + size]) % BUCKETS for i in range(0, len(marked) - size + 1, 4)]
-    return found
+#: Characters that are worked on at once, so that memory does not follow the length of a text.
+BLOCK = 1 << 18
+
+
+@cache
+def character_kinds() -> np.ndarray:
+    """2 for letters, 1 for the marks that belong to them, 0 for what parts words, by code point."""
+    return np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
+
+
+def character_stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of the lower-cased texts, each behind a border and with a border for all that is no letter or mark; where each
+    text begins; whether it has a letter)."""
+    lowered = [t.lower() for t in texts]
+    stream = np.frombuffer(("\x01" + "\x01".join(lowered) + "\x01").encode("utf-32-le", "replace"), np.uint32)
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in lowered])]).astype(np.int64)
+    kinds = character_kinds()[stream]
+    lettered = np.add.reduceat(kinds == 2, starts[:-1], dtype=np.int64) > 0 if texts else np.zeros(0, bool)
+    return np.where(kinds > 0, stream, np.uint32(BORDER)), starts, lettered
+
+
+def grams(stream: np.ndarray, start: int, stop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of subword: its bucket at every position of the stream from start to stop, and whether there is one."""
+    border = stream[start : stop + LONGEST] == BORDER
+    size = stop - start
+    hashed, inside = np.zeros(size, np.uint32), np.ones(size, bool)
+    for n in range(1, LONGEST + 1):
+        found = min(size, len(stream) - start - n + 1)
+        step = stream[start + n - 1 : start + n - 1 + found]
+        hashed = hashed[:found] * np.uint32(0x9E3779B1) + step
+        mixed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)
+        if n > 2:
+            # All characters between the first and the last are no borders.
+            inside = inside[:found] & ~border[n - 2 : n - 2 + found]
+        there = ~border[:found] if n == 1 else ~(border[:found] & border[1 : 1 + found]) if n == 2 else inside
+        yield mixed >> np.uint32(32 - BUCKET_BITS), there
+
+
+def subwords(text: str) -> np.ndarray:
+    """Buckets of the subwords of one text."""
+    stream, _, _ = character_stream([text])
+    return np.concatenate([buckets[there] for buckets, there in grams(stream, 0, len(stream) - 1)]).astype(np.int32)
 
 
 class Model:
@@ -47,8 +75,6 @@ class Model:
 
     def places(self, subwords: np.ndarray) -> np.ndarray:
         """Rows of the embedding table; the last one is that of unknown buckets."""
-        if not len(self.buckets):
-            return np.zeros(len(subwords), np.int64)
         at = np.minimum(np.searchsorted(self.buckets, subwords), len(self.buckets) - 1)
         return np.where(self.buckets[at] == subwords, at, len(self.buckets))
 
@@ -106,31 +132,33 @@ class Model:
         self.temperature = min(np.geomspace(0.05, 20, 61).tolist(), key=loss)
         self.threshold = float(np.quantile(self.probabilities(logits).max(axis=1), lost))
 
-    def piece_sums(self, piece: str) -> np.ndarray:
-        """Sum of the embeddings of a piece's subwords, and behind it their number."""
-        places = self.places(np.array(subwords(piece), np.int64))
-        return np.append(self.embeddings[places].sum(axis=0), len(places))
-
-    def score(self, texts: pa.Array, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the likeliest language or -1 without letters, its calibrated probability) of each text. Every distinct piece of the
-        batch is hashed once; `known` remembers short ones for later batches."""
-        pieces, codes, offsets = word_codes(texts)
-        table = np.zeros((len(pieces) + 1, self.embeddings.shape[1] + 1))
-        for i, piece in enumerate(pieces.to_pylist()):
-            found = known.get(piece)
-            if found is None:
-                found = self.piece_sums(piece)
-                if len(piece) <= SHORT_PIECE:
-                    known[piece] = found
-            table[i] = found
-        sums = np.zeros((len(texts), table.shape[1]))
-        for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
-            # A text with more pieces than the batch has distinct ones is summed by counts, so memory stays that of the table.
-            sums[i] = np.bincount(codes[a:b], minlength=len(table)) @ table if b - a > len(table) else table[codes[a:b]].sum(axis=0)
-        lettered = sums[:, -1] > 0
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the likeliest language or -1 without letters, its calibrated probability) of each text.
+
+        The mean and the softmax's weights are both linear, so where there are fewer languages than dimensions the embeddings are
+        multiplied by the weights beforehand; every position then adds its subwords' rows to the sum of its text."""
         best, scores = np.full(len(texts), -1), np.zeros(len(texts))
-        if self.languages and lettered.any():
-            chances = self.probabilities(self.logits(sums[lettered, :-1] / sums[lettered, -1:]))
+        if not texts or not self.languages:
+            return best, scores
+        ahead = len(self.languages) <= self.embeddings.shape[1]
+        table = (self.embeddings @ self.weights if ahead else self.embeddings).astype(np.float32)
+        rows = np.full(1 << BUCKET_BITS, len(self.buckets), np.int32)
+        rows[self.buckets] = np.arange(len(self.buckets))
+        stream, starts, lettered = character_stream(texts)
+        sums, counts = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), np.int64)
+        for start in range(0, int(starts[-1]), BLOCK):
+            stop = min(start + BLOCK, int(starts[-1]))
+            values, found = np.zeros((stop - start, table.shape[1]), np.float32), np.zeros(stop - start, np.int64)
+            for buckets, there in grams(stream, start, stop):
+                values[: len(there)] += table[np.where(there, rows[buckets], len(self.buckets))]
+                found[: len(there)] += there
+            first, last = np.searchsorted(starts, start, "right") - 1, np.searchsorted(starts, stop, "left")
+            cuts = np.maximum(starts[first:last] - start, 0)
+            sums[first:last] += np.add.reduceat(values, cuts, axis=0, dtype=np.float64)
+            counts[first:last] += np.add.reduceat(found, cuts)
+        means = sums[lettered] / counts[lettered, None]
+        chances = self.probabilities(means + self.bias if ahead else self.logits(means))
+        if lettered.any():
             best[lettered], scores[lettered] = chances.argmax(axis=1), chances.max(axis=1)
         return best, scores
 
@@ -142,9 +170,12 @@ def training_pieces(docs: DataFrame, text: str, id_column: str, lang: str, docum
     keyed = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_column).isNotNull())
     hashed = F.xxhash64(F.col(id_column).cast("string"))
     narrow = keyed.select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"), hashed.alias("_h"))
+    # Of a large language twice as many rows as wanted pass, by their hash, so that no task ranks all of its rows.
+    share = narrow.groupBy("_lang").agg((2 * documents / F.count("*")).alias("_share"))
+    near = narrow.join(share, "_lang").where(F.pmod("_h", F.lit(1 << 30)) < F.col("_share") * (1 << 30))
     order = Window.partitionBy("_lang").orderBy("_h", "_id")
     # Staged, so that the optimizer sees how small it is and does not shuffle the texts.
-    chosen = stage(narrow.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= documents).select("_id", "_lang").distinct(), "chosen")
+    chosen = stage(near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= documents).select("_id", "_lang").distinct(), "chosen")
     texts = keyed.select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("text")).join(chosen, ["_id", "_lang"])
     letters = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w.rlike(r"\p{L}"))
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / words).cast("int")), lambda i: F.concat_ws(" ", F.slice("w", i * words + 1, F.lit(words))))
@@ -156,7 +187,7 @@ def training_pieces(docs: DataFrame, text: str, id_column: str, lang: str, docum
 def with_subwords(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.array([h for piece in t.split() for h in subwords(piece)], np.int32) for t in batch.column(2).to_pylist()]
+            found = [subwords(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["language", "spare", "subwords"])
 
     bounded_batches()
@@ -202,11 +233,8 @@ def languages(docs: DataFrame, model: Model, text: str = "text", id_column: str
     threshold, which text in no learned language is. Repeated rows give a row each; an empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text"):
-            if len(known) > KNOWN_PIECES:
-                known.clear()
-            best, scores = model.score(batch.column(1), known)
+        for batch in slices(batches, "text", 1 << 20):
+            best, scores = model.score(batch.column(1).to_pylist())
             named = [model.languages[i] if i >= 0 else UNKNOWN for i in best.tolist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named, pa.string()), pa.array(scores, pa.float64()), pa.array(scores < model.threshold)], names=["id", "lang_pred", "score", "rejected"])
 
