@@ -171,7 +171,7 @@ def training_pieces(docs: DataFrame, text: str, id_column: str, lang: str, docum
     hashed = F.xxhash64(F.col(id_column).cast("string"))
     narrow = keyed.select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"), hashed.alias("_h"))
     # Of a large language twice as many rows as wanted pass, by their hash, so that no task ranks all of its rows.
-    share = narrow.groupBy("_lang").agg((2 * documents / F.count("*")).alias("_share"))
+    share = stage(narrow.groupBy("_lang").agg((2 * documents / F.count("*")).alias("_share")), "shares")
     near = narrow.join(share, "_lang").where(F.pmod("_h", F.lit(1 << 30)) < F.col("_share") * (1 << 30))
     order = Window.partitionBy("_lang").orderBy("_h", "_id")
     # Staged, so that the optimizer sees how small it is and does not shuffle the texts.
