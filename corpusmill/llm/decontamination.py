@@ -37,13 +37,14 @@ def filter_bits(h: Column) -> tuple[Column, Column]:
 
 
 def hash_filter(keys: DataFrame) -> Column:
-    """Bloom filter over the hashes `h`, a constant array of longs of fixed size whatever their number."""
+    """Bloom filter over the hashes `h`: an array of longs of fixed size whatever their number, as a scalar subquery over a staged table of one
+    row. Put it into a column first; subqueries do not go into lambda functions, and a constant of this size would be repeated in
+    every plan that uses it."""
     bits = keys.select(F.explode(F.array(*filter_bits(F.col("h")))).alias("bit"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)))
-    used = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("bits"))
-    longs = dict(used.collect())  # FILTER_LONGS rows at most
-    # A cast of a constant text is folded into one array literal; an array of as many literal columns takes seconds to build.
-    return F.split(F.lit(",".join(str(longs.get(i, 0)) for i in range(FILTER_LONGS))), ",").cast("array<bigint>")
+    used = bits.groupBy(F.shiftright("bit", 6).cast("long").alias("id")).agg(F.bit_or(one).alias("bits"))
+    longs = keys.sparkSession.range(FILTER_LONGS).join(used, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    return stage(longs.agg(F.sort_array(F.collect_list(F.struct("id", "bits")))["bits"].alias("filter")), "filter").scalar()
 
 
 def in_filter(bits: Column, h: Column) -> Column:
@@ -63,21 +64,21 @@ def alignments(docs: DataFrame, items: DataFrame, seeds=SEEDS, salts: int = 16)
     bits = hash_filter(tests)
 
     def hits(k: int) -> Column:
-        found = lambda h, i: F.when(in_filter(bits, h), F.struct(i.alias("at"), h.alias("h")))
+        found = lambda h, i: F.when(in_filter(F.col("filter"), h), F.struct(i.alias("at"), h.alias("h")))
         return F.filter(F.transform(seed_hashes("w", k, seeds[k]), found), lambda x: x.isNotNull())
 
-    hashed = docs.select("id", "digest", word_hashes(F.col("text")).alias("w"))
+    hashed = docs.select("id", "digest", word_hashes(F.col("text")).alias("w"), bits.alias("filter"))
     rows = hashed.select("id", "digest", F.explode_outer(F.concat(*(hits(k) for k in range(len(seeds))))).alias("hit")).where("hit is not null")
     rows = rows.select("id", "digest", "hit.h", "hit.at", F.pmod(F.col("digest"), F.lit(salts)).cast("int").alias("salt"))
     salted = tests.select("item", "h", F.col("at").alias("item_at"), F.explode(F.lit(list(range(salts)))).alias("salt"))
     return rows.join(salted, ["h", "salt"]).select("id", "digest", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
-def short_overlaps(base: DataFrame, items: DataFrame, generic_words: int, generic_share: float, salts: int) -> DataFrame:
+def short_overlaps(base: DataFrame, items: DataFrame, generic_words: int, generic_documents: int, salts: int) -> DataFrame:
     """Rows as of `contaminated` for items (item, w) shorter than a window: a document that holds all words of the item in a row.
 
-    Placements of the lengths that occur are tested against the filter inside the row; a hit is verified word by word. An item of
-    fewer than `generic_words` words is a common phrase, and left out, if over 10 documents and over `generic_share` of all hold it."""
+    Placements of the lengths that occur are tested against the filter inside the row; a hit is verified word by word. Items of fewer
+    than `generic_words` words that over `generic_documents` documents hold are left out as common phrases; by default none is."""
     lengths = sorted(r["n"] for r in items.select(F.size("w").alias("n")).distinct().collect())  # fewer than a window has words
     if not lengths:
         return base.sparkSession.createDataFrame([], base.select("id", "digest").schema).join(items.select("item").where("false")).selectExpr(
@@ -87,11 +88,11 @@ def short_overlaps(base: DataFrame, items: DataFrame, generic_words: int, generi
 
     def hits(n: int) -> Column:
         cut = lambda i: F.slice("w", i + 1, n)
-        found = lambda i: F.when(in_filter(bits, F.xxhash64(cut(i))), F.struct(i.alias("at"), cut(i).alias("dw"), F.xxhash64(cut(i)).alias("h")))
+        found = lambda i: F.when(in_filter(F.col("filter"), F.xxhash64(cut(i))), F.struct(i.alias("at"), cut(i).alias("dw"), F.xxhash64(cut(i)).alias("h")))
         every = F.transform(F.sequence(F.lit(0), F.size("w") - n), found)
         return F.when(F.size("w") >= n, F.filter(every, lambda x: x.isNotNull()))
 
-    hashed = base.select("id", "digest", word_hashes(F.col("text")).alias("w"))
+    hashed = base.select("id", "digest", word_hashes(F.col("text")).alias("w"), bits.alias("filter"))
     none = F.array().cast("array<struct<at:int,dw:array<bigint>,h:bigint>>")
     rows = hashed.select("id", "digest", F.explode_outer(F.concat(*(F.coalesce(hits(n), none) for n in lengths))).alias("hit")).where("hit is not null")
     rows = rows.select("id", "digest", "hit.*", F.pmod(F.col("digest"), F.lit(salts)).cast("int").alias("salt"))
@@ -99,25 +100,25 @@ def short_overlaps(base: DataFrame, items: DataFrame, generic_words: int, generi
     found = rows.join(salted, ["h", "salt"]).where(F.col("dw") == F.col("iw"))
     found = stage(found.groupBy("id", "digest", "item").agg(F.min("at").alias("start"), F.min(F.size("iw")).alias("n_words")), "short")
     often = found.where(F.col("n_words") < generic_words).groupBy("item").agg(F.count("*").alias("n"))
-    generic = often.where((F.col("n") > 10) & (F.col("n") > generic_share * base.count())).select(F.col("item").alias("i"))
+    generic = often.where(F.col("n") > generic_documents).select(F.col("item").alias("i"))
     return found.join(generic, F.col("item").eqNullSafe(F.col("i")), "left_anti").select("id", "digest", "item", "start", "n_words", F.col("n_words").alias("n_matches"))
 
 
 def contaminated(
     docs: DataFrame, items: DataFrame, text: str = "text", id_column: str = "doc_id", item_text: str = "text", item_column: str = "item_id",
-    window: int = 13, substitutions: int = 2, salts: int = 16, generic_words: int = 5, generic_share: float = 0.001,
+    window: int = 13, substitutions: int = 2, salts: int = 16, generic_words: int = 0, generic_documents: int = 10,
 ) -> DataFrame:
     """(id, digest, item, start, n_words, n_matches), one row per document and item with a verified overlap.
 
     Overlap: in one alignment, without insertions, some `window` consecutive words differ in at most `substitutions`. start is
     the document's first overlapping word, n_words and n_matches cover all such windows of the best alignment. An item shorter
-    than a window overlaps where all its words stand in a row (`short_overlaps`). Null texts are left out. Repeated rows (same id
+    than a window overlaps where all its words stand in a row (`short_overlaps`, which can leave out common phrases if asked to). Null texts are left out. Repeated rows (same id
     and text) share one result row, null ids are kept as null, repeated items are reported each; empty tables give no rows.
     """
     base = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
     every = items.select(F.col(item_column).alias("item"), word_hashes(F.col(item_text)).alias("w")).distinct()
     tests = every.where(F.size("w") >= window)
-    short = short_overlaps(base, every.where(F.size("w").between(1, window - 1)), generic_words, generic_share, salts)
+    short = short_overlaps(base, every.where(F.size("w").between(1, window - 1)), generic_words, generic_documents, salts)
     found = stage(alignments(base, tests, salts=salts), "alignments")
     wanted = found.select(F.col("id").alias("i"), F.col("digest").alias("d")).distinct()
     texts = base.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi").dropDuplicates(["id", "digest"])

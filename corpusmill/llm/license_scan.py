@@ -88,8 +88,8 @@ def license_matches(
     sizes = sorted(r["m"] for r in known.select("m").distinct().collect())
     bits = hash_filter(known.select(F.explode("hashes").alias("h")))
     base = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("digest"), plain_words(F.col(text)).alias("w"))
-    shingled = base.select("id", "digest", shingle_hashes("w").alias("s"))
-    hits = F.filter(F.transform("s", lambda h, i: F.when(in_filter(bits, h), i)), lambda i: i.isNotNull())
+    shingled = base.select("id", "digest", shingle_hashes("w").alias("s"), bits.alias("filter"))
+    hits = F.filter(F.transform("s", lambda h, i: F.when(in_filter(F.col("filter"), h), i)), lambda i: i.isNotNull())
     # One evaluation: an outer explode attracts no filter that would repeat it. What has hits is staged before windows are made.
     some = F.transform(F.array(hits), lambda x: F.when(F.size(x) > 0, F.struct(F.col("s"), x.alias("hits"))))
     held = stage(shingled.select("id", "digest", F.explode_outer(some).alias("x")).where("x is not null").select("id", "digest", "x.s", "x.hits"), "hits")
