@@ -189,6 +189,40 @@ def test_short_lines_and_the_limit_of_depletion(spark):
     assert all(found[i]["kept"] for i in range(200, 220)) and not any(found[i]["kept"] for i in range(300, 320))
 
 
+def test_a_limit_is_a_share_of_the_host(spark):
+    docs = [(i, f"{prose(3000 + i, 20)}\n" + ("References" if i < 11 else "Contents" if i < 60 else "Home"), "large") for i in range(2000)]
+    docs += [(5000 + i, f"{prose(6000 + i, 20)}\nReferences", "small") for i in range(11)]
+    found = {r["id"]: r["removed_words"] for r in line_quality.line_verdicts(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert {found[i] for i in range(11)} == {0} and {found[i] for i in range(11, 60)} == {1} and {found[i] for i in range(60, 2000)} == {1}
+    assert {found[5000 + i] for i in range(11)} == {1}
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(8)
+    pool = [f"{prose(2000 + k, rng.randint(1, 6))}, {k} times!" for k in range(30)] + ["***", " "]
+    docs = []
+    for i in range(150):
+        lines = [prose(2100 + 40 * i + k, rng.randint(4, 12)) for k in range(rng.randint(1, 4))] + [rng.choice(pool[: rng.choice([3, 32])]) for _ in range(rng.randint(0, 8))]
+        rng.shuffle(lines)
+        docs.append((i, "\n".join(lines), rng.choice("abc")))
+    held = collections.defaultdict(set)
+    for i, text, host in docs:
+        for line in text.split("\n"):
+            held[host, slow_key(line)].add(text)
+    expected = {}
+    for i, text, host in docs:
+        count = lambda t: len(WORD.findall(t))
+        lost = sum(count(x) for x in text.split("\n") if slow_key(x) and len(held[host, slow_key(x)]) > 10)
+        words = WORD.findall(text)
+        windows = collections.Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        covered = {k + j for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for j in range(5)}
+        failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+        expected[i] = (failed, not failed and not (lost > 0.5 * len(words) or len(words) - lost < 10), lost)
+    found = line_quality.line_verdicts(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    assert {r["id"]: (r["base_failed"], r["kept"], r["removed_words"]) for r in found} == expected
+    assert {v[1] for v in expected.values()} == {True, False} and any(v[2] for v in expected.values())
+
+
 def test_line_rules_on_awkward_rows(awkward, nothing):
     assert line_quality.line_verdicts(awkward).count() == awkward.count()
     assert line_quality.line_verdicts(nothing).count() == 0
@@ -254,9 +288,11 @@ def test_short_items_are_found_whole(spark):
     docs = [(i, f"{prose(i, 20)} common words {prose(i + 50, 20)}") for i in range(30)]
     docs += [(100, f"{prose(1, 9)} which river in 1849 flows through ulm {prose(2, 9)}"), (101, "which river in 1849 flows through"), (102, "x name one"), (103, "one two three four five six seven eight nine ten eleven twelve"), (104, None)]
     table = spark.createDataFrame(docs, "doc_id long, text string")
-    found = {(r["id"], r["item"], r["start"], r["n_words"], r["n_matches"]) for r in decontamination.contaminated(table, items).collect()}
-    assert found == {(100, 1, 9, 7, 7), (102, 2, 1, 2, 2), (103, 4, 0, 12, 12)}
-    assert {r["doc_id"] for r in decontamination.drop_contaminated(table, items).collect()} == {*range(30), 101, 104}
+    rows = lambda **o: {(r["id"], r["item"], r["start"], r["n_words"], r["n_matches"]) for r in decontamination.contaminated(table, items, **o).collect()}
+    rare = {(100, 1, 9, 7, 7), (102, 2, 1, 2, 2), (103, 4, 0, 12, 12)}
+    assert rows() == rare | {(i, 3, 20, 2, 2) for i in range(30)}
+    assert rows(generic_words=5) == rare
+    assert {r["doc_id"] for r in decontamination.drop_contaminated(table, items, generic_words=5).collect()} == {*range(30), 101, 104}
 
 
 def test_bit_majority_blocks():
