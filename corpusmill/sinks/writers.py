@@ -1,8 +1,8 @@
-"""Writers: JSON lines, Parquet, keyed upsert snapshots, folders per topic, and reports."""
+"""Writers: JSON lines, Parquet, keyed and bucketed tables, folders per topic, and reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions.text import topic_slug
@@ -60,29 +60,66 @@ def latest_version(spark: SparkSession, root: str, below: int | None = None) ->
     return max((v for v in versions if below is None or v < below), default=None)
 
 
-def upsert_snapshot(root: str, batch: DataFrame, version: int | None = None, key="hash_sha256", seq="seq", keep="pmid") -> str:
-    """Write the table after `batch` as a new snapshot folder and return it. Readers of older snapshots are not disturbed,
-    and writing the same version again gives the same folder."""
-    spark = batch.sparkSession
-    previous = latest_version(spark, root, version)
-    if version is None:
-        version = 0 if previous is None else previous + 1
-    columns = [c for c in batch.columns if c != seq]
-    batch = stage(batch, "batch")
-    if previous is None:
-        current = batch.select(*columns).limit(0)
-    else:
-        current = spark.read.schema(batch.select(*columns).schema).parquet(f"{root}/version={previous}")
-    path = f"{root}/version={version}"
-    upsert(current, batch, key, seq, keep).write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return path
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    version = latest_version(spark, root)
+MANIFEST = "bucket int, version int, buckets int, ddl string"
+#: Bucket number of the manifest row that describes the table and names no files.
+TABLE_ROW = -1
+
+
+def read_manifest(spark: SparkSession, root: str, below: int | None = None) -> tuple[int, list] | None:
+    """(version, rows) of the latest finished manifest of a keyed table: for every bucket the version that wrote its files."""
+    version = latest_version(spark, f"{root}/manifest", below)
     if version is None:
-        raise FileNotFoundError(f"no finished snapshot under {root}")
-    return spark.read.parquet(f"{root}/version={version}")
+        return None
+    return version, spark.read.schema(MANIFEST).parquet(f"{root}/manifest/version={version}").collect()  # one row per bucket
+
+
+def bucket_paths(root: str, rows: list, only: set[int] | None = None) -> list[str]:
+    return [f"{root}/data/version={r.version}/_bucket={r.bucket}" for r in rows if r.bucket != TABLE_ROW and (only is None or r.bucket in only)]
+
+
+def upsert_snapshot(
+    root: str, batch: DataFrame, version: int | None = None, key="hash_sha256", seq="seq", keep="pmid", buckets: int = 64,
+) -> str:
+    """Bring a keyed table up to date with `batch` and return its folder.
+
+    The table is hash-bucketed by key, and a manifest says which version wrote the files of each bucket. Only the buckets that
+    the batch touches are read and written anew, under the new version; the manifest that points to them is written last and counts
+    once it is finished. A run that ends between the two leaves files that no manifest names, and writing the same version again
+    overwrites them, so a replay gives the same table. Earlier versions stay readable. `buckets` holds for a new table; a table
+    keeps its number.
+    """
+    spark = batch.sparkSession
+    found = read_manifest(spark, root, version)
+    previous, rows = found if found is not None else (-1, [])
+    version = previous + 1 if version is None else version
+    buckets = rows[0].buckets if rows else buckets
+    columns = [c for c in batch.columns if c != seq]
+    batch = stage(batch, "batch")
+    schema = batch.select(*columns).schema
+    touched = {r[0] for r in batch.select(bucket_of(key, buckets)).distinct().collect()}  # `buckets` rows at most
+    paths = bucket_paths(root, rows, touched)
+    current = spark.read.schema(schema).parquet(*paths) if paths else batch.select(*columns).limit(0)
+    if touched:
+        after = upsert(current, batch, key, seq, keep).withColumn("_bucket", bucket_of(key, buckets)).hint("rebalance", F.col("_bucket"))
+        after.write.mode("overwrite").option("compression", "zstd").partitionBy("_bucket").parquet(f"{root}/data/version={version}")
+    state = {r.bucket: r.version for r in rows} | dict.fromkeys(touched, version) | {TABLE_ROW: version}
+    entries = [(b, v, buckets, schema.toDDL()) for b, v in sorted(state.items())]
+    spark.createDataFrame(entries, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/version={version}")
+    return root
+
+
+def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The keyed table as of its latest version, or of an earlier one."""
+    found = read_manifest(spark, root, None if version is None else version + 1)
+    if found is None:
+        raise FileNotFoundError(f"no finished version under {root}")
+    _, rows = found
+    paths, schema = bucket_paths(root, rows), rows[0].ddl
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def export_all(

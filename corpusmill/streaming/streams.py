@@ -86,10 +86,11 @@ def daily_counts(stream: DataFrame, ts: str = "ts", limit: int = 2000, delay: st
     )
 
 
-def upsert_batches(root: str, key="hash_sha256", seq="seq", keep="pmid") -> Callable[[DataFrame, int], None]:
-    """`foreachBatch` function: one table snapshot per batch; a replayed batch starts from the snapshot before it."""
+def upsert_batches(root: str, key="hash_sha256", seq="seq", keep="pmid", buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` function: one version of a keyed table per batch, named by the batch id. The data of the touched buckets come first,
+    the manifest commits them; a replayed batch starts from the manifest before it, wherever the run before was stopped."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        upsert_snapshot(root, batch, batch_id, key, seq, keep)
+        upsert_snapshot(root, batch, batch_id, key, seq, keep, buckets)
 
     return run

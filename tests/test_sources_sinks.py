@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,7 +95,59 @@ def test_upsert(spark, folder):
     W.upsert_snapshot(root, spark.createDataFrame([(1, "h2", "new", "d"), (2, "h3", None, "e")], schema))
     second = {(r.hash_sha256, r.pmid, r.title) for r in W.read_snapshot(spark, root).collect()}
     assert second == {("h1", "p1", "b"), ("h2", "p3", "d"), ("h3", None, "e")}
-    assert W.latest_version(spark, root) == 1 and W.latest_version(spark, root, below=1) == 0
+    assert W.read_manifest(spark, root)[0] == 1 and W.read_manifest(spark, root, below=1)[0] == 0
+    assert {r.hash_sha256 for r in W.read_snapshot(spark, root, 0).collect()} == {"h1", "h2"}
+
+
+def bucket_files(root):
+    return {p.name: p.parent.name for p in Path(root).glob("data/*/*/*.parquet")}
+
+
+def test_upsert_leaves_other_buckets_alone(spark, folder):
+    root = folder("table")
+    rows = spark.range(200).select(F.col("id").alias("seq"), F.concat(F.lit("h"), "id").alias("hash_sha256"), F.lit("p").alias("pmid"), F.lit("old").alias("title"))
+    W.upsert_snapshot(root, rows, buckets=8)
+    before = bucket_files(root)
+    one = rows.where("seq = 17").withColumn("title", F.lit("new"))
+    W.upsert_snapshot(root, one)
+    hit = one.select(W.bucket_of("hash_sha256", 8)).first()[0]
+    found = W.read_snapshot(spark, root)
+    used = {p.rsplit("/", 1)[1] for p in found.inputFiles()}
+    assert {f for f, b in before.items() if b != f"_bucket={hit}"} <= used
+    assert not {f for f, b in before.items() if b == f"_bucket={hit}"} & used
+    assert found.count() == 200 and {r.hash_sha256 for r in found.where("title = 'new'").collect()} == {"h17"}
+
+
+def test_an_upsert_stopped_before_its_manifest_is_replayed(spark, folder, monkeypatch):
+    schema = "seq bigint, hash_sha256 string, pmid string, title string"
+    first = spark.createDataFrame([(i, f"h{i}", f"p{i}", "a") for i in range(20)], schema)
+    second = spark.createDataFrame([(i, f"h{i + 10}", f"q{i}", "b") for i in range(20)], schema)
+    whole, broken = folder("whole"), folder("broken")
+    for root in (whole, broken):
+        W.upsert_snapshot(root, first, 0, buckets=4)
+    W.upsert_snapshot(whole, second, 1)
+    with monkeypatch.context() as m:
+        part = second.limit(7)
+
+        def killed(*_):
+            raise RuntimeError("killed")
+
+        m.setattr(type(spark), "createDataFrame", killed)  # the run ends after the data are written
+        with pytest.raises(RuntimeError, match="killed"):
+            W.upsert_snapshot(broken, part, 1)
+    rows = lambda root: sorted(map(tuple, W.read_snapshot(spark, root).collect()))
+    assert rows(broken) == sorted(tuple(r)[1:] for r in first.collect())
+    W.upsert_snapshot(broken, second, 1)
+    W.upsert_snapshot(broken, second, 1)
+    assert rows(broken) == rows(whole) and len(rows(whole)) == 30
+
+
+def test_a_table_without_rows(spark, folder):
+    empty = spark.createDataFrame([], "seq bigint, hash_sha256 string, pmid string, title string")
+    W.upsert_snapshot(folder("t"), empty)
+    assert W.read_snapshot(spark, folder("t")).columns == ["hash_sha256", "pmid", "title"] and W.read_snapshot(spark, folder("t")).count() == 0
+    W.upsert_snapshot(folder("t"), spark.createDataFrame([(1, None, "p", "t")], empty.schema))
+    assert W.read_manifest(spark, folder("t"))[0] == 1
 
 
 def test_folders_per_topic(spark, folder):

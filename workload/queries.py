@@ -498,7 +498,7 @@ def exported_entries(spark, folder):
     paths = writers.export_all(rows, scratch(spark, "export"), "run", flatten_json=True)
     lines = readers.read_jsonl(spark, paths["jsonl"], "pmid string, title string, keywords array<string>", strict=True)
     flat = spark.read.parquet(paths["parquet"]).select("pmid", F.col("keywords").alias("keywords_json"))
-    keyed = spark.read.parquet(paths["table"]).select("pmid", F.lit(True).alias("in_table"))
+    keyed = writers.read_snapshot(spark, paths["table"]).select("pmid", F.lit(True).alias("in_table"))
     return lines.join(flat, "pmid").join(keyed, "pmid", "left").select(
         "pmid", "title", joined("keywords").alias("keywords"), "keywords_json",
         F.coalesce("in_table", F.lit(False)).alias("in_table"),
