@@ -1,8 +1,7 @@
-"""What several operators of this subpackage share: staged tables, connected components and words of Arrow columns."""
+"""What several operators of this subpackage share: tables, words and Arrow batches."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusmill.session import shared_folder, stage  # noqa: F401  stage is used by the operators
+from corpusmill.operators.components import connected_components  # noqa: F401  used by the operators, as are these
+from corpusmill.session import drop_staged, shared_folder, stage, staged  # noqa: F401
 
 #: ASCII white space, which separates words in the contracts.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -22,56 +22,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """As `stage`, with the path, so that a superseded table can be removed by `drop_staged`."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def drop_staged(spark: SparkSession, path: str) -> None:
-    """Remove a table written by `staged`."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def words_of(text: Column) -> Column:
     """Array of the words of a text, native; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE_CHARS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WHITE))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of the edge table (a, b) of longs; the label is the smallest node of the component.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014): every step replaces the neighbours of a node by links
-    to the smallest of them, so the number of rounds is logarithmic, whatever the length of a chain. A round is staged, the
-    round before it is removed. Minima are hash aggregates with map-side combining; the joins fetch one row per key, so a hub
-    is a skewed join that adaptive execution splits.
-    """
-    spark = edges.sparkSession
-    hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
-    table, path = staged(edges.where("a <> b").select(hi, lo).distinct(), "edges")
-    seen = None
-    while True:
-        both = table.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(table.select(F.col("lo"), F.col("hi")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(lowest, "hi").select(
-            F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"))))
-        ).select("col.hi", "col.lo").where("hi <> lo").distinct()
-        after, after_path = staged(small, "edges")
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        drop_staged(spark, path)
-        table, path = after, after_path
-        if now == seen:
-            break
-        seen = now
-    stars = table.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
-    return stars.union(stars.select("label", "label").distinct())
-
-
 def bounded_batches(rows: int = 1000) -> None:
     """Let Spark send Arrow batches of fewer rows than its default of 10,000, which are tens of megabytes of text on both sides. A
     setting that the caller has chosen is left alone."""
