@@ -574,8 +574,8 @@ def sample_rows(spark, folder):
     return raw(spark, folder).orderBy("seq").limit(3).select("seq", "pmid", "url")
 
 
-def _run(stream_writer, spark) -> None:
-    query = stream_writer.option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
+def _run(stream_writer, spark, checkpoint: str | None = None) -> None:
+    query = stream_writer.option("checkpointLocation", checkpoint or scratch(spark, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -623,12 +623,13 @@ def streamed_upsert(spark, folder):
 
 
 def streamed_keep_first(spark, folder):
-    """Titles kept by a stream that remembers the titles of earlier batches."""
-    source, root = scratch(spark, "arriving"), scratch(spark, "kept")
+    """Titles kept by a stream that remembers the titles of earlier batches; even ids arrive before odd ones."""
+    source, root, checkpoint = scratch(spark, "arriving"), scratch(spark, "kept"), scratch(spark, "stream")
     docs = raw(spark, folder).select("seq", "title", "abstract")
-    docs.repartitionByRange(2, "seq").write.parquet(source)
-    stream = spark.readStream.schema("seq bigint, title string, abstract string").option("maxFilesPerTrigger", 1).parquet(source)
-    _run(stream.writeStream.foreachBatch(streams.keep_first_batches(root)), spark)
+    for half in (0, 1):
+        docs.where(F.pmod("seq", F.lit(2)) == half).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("seq bigint, title string, abstract string").parquet(source)
+        _run(stream.writeStream.foreachBatch(streams.keep_first_batches(root)), spark, checkpoint)
     return spark.read.parquet(root).select("seq")
 
 
