@@ -1,8 +1,10 @@
-"""Embedding vectors: cosine similarity and the cache keyed by the hash of the text."""
+"""Embedding vectors: cosine similarity, nearest vectors and the cache keyed by the hash of the text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage
 
@@ -62,3 +64,45 @@ def embed_with_cache(
     )
     known = cache.select("text_sha256", "embedding").unionByName(added)
     return cache_lookup(requests, known, text).drop("hit"), added
+
+
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", digits: int = 6,
+    block: int = 1024, slice_rows: int = 20_000,
+) -> DataFrame:
+    """(query_id, rank, neighbour_id, similarity): for every row of `queries` the `k` rows of `vectors` with another id and the highest cosine
+    similarity, rounded to `digits`; ties go by id.
+
+    Queries are dealt into blocks and vectors into slices of bounded size. A task holds one block and one slice and keeps the best `k` of
+    each query; only those partial lists meet, so no row is made for a pair. A vector of norm zero has similarity zero; rows without a vector
+    are left out; ids of queries are distinct."""
+    narrow = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows, asked = narrow(vectors), narrow(queries)
+    blocks, slices = (max(1, -(-df.count() // size)) for df, size in ((asked, block), (rows, slice_rows)))
+    dealt = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("*", dealt("query", blocks).alias("b"), every(slices).alias("s"))
+    right = rows.select("*", dealt("row", slices).alias("s"), every(blocks).alias("b"))
+
+    def unit(values):
+        matrix = np.array(values.tolist(), float)
+        norms = np.sqrt((matrix**2).sum(axis=1, keepdims=True))
+        return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
+    def best(x, y):
+        found = []
+        if len(x) and len(y):
+            ids, table = y["id"].to_numpy(), unit(y["v"])
+            for query, scores in zip(x["id"], np.round(unit(x["v"]) @ table.T, digits)):
+                scores = np.where(ids == query, -2.0, scores)
+                # All that tie with the k-th best take part in the order.
+                least = np.partition(scores, -min(k, len(scores)))[-min(k, len(scores))]
+                near = np.flatnonzero((scores >= least) & (ids != query))
+                near = near[np.lexsort((ids[near], -scores[near]))][:k]
+                found += [(query, ids[i], scores[i]) for i in near]
+        return pd.DataFrame(found, columns=["query_id", "neighbour_id", "similarity"])
+
+    partial = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(best, "query_id bigint, neighbour_id bigint, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
+    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "neighbour_id", "similarity")

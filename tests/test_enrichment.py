@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter
 
@@ -90,3 +92,23 @@ def test_first_n(spark):
     df = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1)], "g string, i int")
     assert [(r.g, r.i, r["rank"]) for r in first_n_per_group(df, "g", ["i"], 2).orderBy("g", "i").collect()] == [
         ("a", 0, 1), ("a", 1, 2), ("b", 1, 1)]
+
+
+def test_nearest_vectors_in_blocks_and_slices(spark):
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(90)] + [(90, [0.0] * 4), (91, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def cosine(a, b):
+        norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b)) / norms, 6) if norms else 0.0
+
+    known = dict(rows[:-1])
+    expected = set()
+    for q in range(0, 91, 7):
+        order = sorted((-cosine(known[q], v), i) for i, v in known.items() if i != q)
+        expected |= {(q, n + 1, i, -s + 0.0) for n, (s, i) in enumerate(order[:6])}
+    for sizes in ({}, {"block": 4, "slice_rows": 9}):
+        found = V.nearest(df, df.where("vec_id % 7 = 0"), 6, **sizes).collect()
+        assert {(r.query_id, r["rank"], r.neighbour_id, r.similarity + 0.0) for r in found} == expected
+    assert V.nearest(df.where("false"), df, 3).count() == 0

@@ -358,6 +358,12 @@ def nearest_to_mean(spark, folder):
     return ranked.select("label", "rank", "vec_id", "similarity")
 
 
+def nearest_vectors(spark, folder):
+    """The five nearest of all vectors to every twentieth one."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return V.nearest(vectors, vectors.where("vec_id % 20 = 0"), 5)
+
+
 # --- model replies and topics ---------------------------------------------------------------------------------------
 
 def topic_pages(spark, folder):
@@ -639,7 +645,7 @@ ALL = [
     fetch_outcomes, fetch_statistics, page_records, generic_records, link_edges, parsed_pages, url_list_scan,
     url_list_totals, listed_page_records, exact_duplicates, similar_titles, similar_title_ratios, first_visits,
     unvisited_urls, document_keywords, entities, entities_joined, entity_labels, qa_training_rows, cache_lookup,
-    cache_misses, embedded_documents, cosine_to_mean, nearest_to_mean, judged_pages, multilingual_qa, single_language_qa,
+    cache_misses, embedded_documents, cosine_to_mean, nearest_to_mean, nearest_vectors, judged_pages, multilingual_qa, single_language_qa,
     extracted_content, prompts, topic_lines, suggested_urls, topic_results, topic_totals, topic_folders, curated_exact,
     curation_counters, default_counters, curated_entries, exported_entries, upserted_table, stored_files, article_xml,
     first_urls_per_site, daily_admission, daily_remaining, sample_rows, streamed_curation, streamed_first_arrivals,
