@@ -12,36 +12,90 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusmill.llm.common import bounded_batches
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^<>"'])*)>""", re.DOTALL)
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.IGNORECASE)
+NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.IGNORECASE)
 LABEL = re.compile(r'data-label="([01])"')
+NEXT_TAG = re.compile(r"<[/!a-zA-Z]")
 
 # Elements of HTML by what they mean for blocks.
-SKIPPED = frozenset("script style noscript template title svg math iframe object canvas audio video select textarea option".split())
+SKIPPED = frozenset("script style noscript template title svg math iframe object canvas audio video select textarea".split())
+RAW = frozenset("script style title textarea".split())  # without an end tag they reach to the end of the page; of the others only the tag goes
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
     "label legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div nav header footer aside form menu dialog fieldset ul ol table figure details body".split())
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th dt dd label button pre blockquote figcaption summary caption legend".split())
-BAD_NAMES = re.compile(
-    r"\b(?:ads?|advert\w*|adbox|banner|cookies?|consent|gdpr|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|side-?bar|menu|nav\w*|promo\w*|newsletter|"
-    r"subscribe|subscription|popup|modal|breadcrumbs?|widget|sponsor\w*|footer|header|masthead|toolbar|pagination|pager|tags|notices?|notification|alert|disclaimer|login|search|complementary|contentinfo|dialog)\b", re.IGNORECASE,
+BAD_ELEMENTS = frozenset("nav footer aside form menu dialog fieldset".split())
+
+# Parts of class names, ids and roles. A strong part marks boilerplate wherever it stands in a name; a weak one only as the
+# last part or before parts that name a layout box ("menu-item", but not "header-image" or "notice-board").
+STRONG = re.compile(
+    r"ads?|advert\w*|adbox|cookies?|consent|gdpr|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|sidebar|nav\w*|promo\w*|newsletter|subscri\w*|popup|modal|"
+    r"breadcrumbs?|sponsor\w*|pagination|pager|complementary|contentinfo"
 )
-GOOD_NAMES = re.compile(r"\b(?:article|content|post|entry|story|main|body|text)\b", re.IGNORECASE)
+WEAK = frozenset("banner menu widget widgets footer header masthead toolbar tags notice notices notification alert disclaimer login search dialog".split())
+GOOD = frozenset("article content post entry story main body text".split())
+BOXES = frozenset("area bar block box button buttons container form group inner item items left links list message outer overlay panel region right section text title top wrap wrapper".split())
+FRAMES = frozenset("container inner layout outer wrap wrapper".split())
+MODIFIERS = frozenset("has is no not with without".split())
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 FEATURES = (
     "words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_bad_element", "bad_name", "good_name", "heading", "item", "outside_article",
-    "in_header",
+    "in_header", "level",
 )
 
 
+def judged_names(attributes: str) -> tuple[int, bool, bool]:
+    """(0 no boilerplate name, 1 weak, 2 strong; whether a whole name is a strong part; whether there is a content name) of a start tag."""
+    bad, whole, good = 0, False, False
+    for value in NAMES.findall(attributes):
+        for name in value.strip("\"'").split():
+            parts = [p for p in CAMEL.sub("-", name).replace("_", "-").lower().replace("side-bar", "sidebar").split("-") if p]
+            if not parts or parts[0] in MODIFIERS:
+                continue
+            good = good or any(p in GOOD for p in parts)
+            if parts[0] in GOOD and (parts[-1] in FRAMES or parts[-1] == "header"):
+                continue
+            if any(STRONG.fullmatch(p) for p in parts):
+                bad, whole = 2, whole or len(parts) == 1
+            elif bad == 0 and any(p in WEAK and all(q in BOXES or q in WEAK for q in parts[k + 1 :]) for k, p in enumerate(parts)):
+                bad = 1
+    return bad, whole, good
+
+
+OUTERMOST = ("", False, False, 0, False, False)
+
+
+def nested(outer: tuple, name: str, attributes: str) -> tuple:
+    """State below a container: (element, in article, in boilerplate element, boilerplate name, content name, in header).
+
+    Names of `body` and `main` say what else the page has, so they are not passed down; of an `article` only a whole strong name
+    counts (a comment, a teaser). A content name or an article inside a weakly named box starts afresh; `main` always does.
+    """
+    _, article, bad_element, bad_name, good_name, in_header = outer
+    bad, whole, good = judged_names(attributes) if attributes else (0, False, False)
+    if name == "body":
+        bad, good = 0, False
+    elif name == "main":
+        bad, bad_name = 0, 0
+    elif name == "article":
+        bad = 2 if whole else 0
+    if bad_name == 1 and (good or name == "article"):
+        bad_name = 0
+    return (
+        name, article or name in ("article", "main"), bad_element or name in BAD_ELEMENTS, max(bad_name, bad), good_name or good, in_header or name == "header",
+    )
+
+
 def flat_blocks(source: str) -> list[dict]:
-    """Text blocks in page order with their features; markup of any brokenness is read in one pass."""
+    """Text blocks in page order with their features; markup of any brokenness is read in one pass whose time is linear in the page."""
     blocks: list[dict] = []
     parts: list[str] = []
     linked = 0
     in_link = False
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # element, in article, in boilerplate element, boilerplate name, content name
+    stack = [OUTERMOST]
+    opened: dict[str, int] = {}
+    endless: set[str] = set()  # skipped elements that have no end tag from here on
     leaf, label, has_article = "", None, False
 
     def close_block() -> None:
@@ -49,10 +103,11 @@ def flat_blocks(source: str) -> list[dict]:
         if parts:
             words = entities.unescape("".join(parts)).split()
             if words:
-                inside = stack[-1] if stack else ("", False, False, False, False)
+                _, article, bad_element, bad_name, good_name, in_header = stack[-1]
+                level = int(leaf[1]) if leaf[:1] == "h" else 0
                 blocks.append({
-                    "text": " ".join(words), "words": len(words), "links": min(1.0, linked / len(words)), "in_article": inside[1], "in_bad_element": inside[2], "bad_name": inside[3],
-                    "good_name": inside[4], "heading": leaf[:1] == "h" and leaf[1:].isdigit(), "item": leaf == "li", "in_header": any(s[0] == "header" for s in stack), "label": label,
+                    "text": " ".join(words), "words": len(words), "links": min(1.0, linked / len(words)), "in_article": article, "in_bad_element": bad_element, "bad_name": bad_name > 0,
+                    "good_name": good_name, "heading": level > 0, "level": level, "item": leaf == "li", "in_header": in_header, "label": label,
                 })
         parts, linked, label = [], 0, None
 
@@ -70,10 +125,21 @@ def flat_blocks(source: str) -> list[dict]:
         if (name := m[2]) is None:
             continue
         name, closing, attributes = name.lower(), bool(m[1]), m[3] or ""
-        if name in SKIPPED and not closing:
-            if not attributes.endswith("/"):
+        if name in SKIPPED:
+            if not closing and not attributes.endswith("/") and name not in endless:
                 end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(source, at)
-                at = end.end() if end else len(source)
+                if end:
+                    at = end.end()
+                elif name in RAW:
+                    at = len(source)
+                else:
+                    endless.add(name)
+            continue
+        if name == "option":
+            # Its end tag is optional and it holds text only, so it ends at the next tag.
+            if not closing:
+                end = NEXT_TAG.search(source, at)
+                at = end.start() if end else len(source)
             continue
         if name == "a":
             in_link = not closing
@@ -83,28 +149,22 @@ def flat_blocks(source: str) -> list[dict]:
         close_block()
         if name in CONTAINERS:
             in_link = False
-            if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-            else:
-                _, article, bad_element, bad_name, good_name = stack[-1] if stack else ("", False, False, False, False)
-                names = " ".join(x.strip("\"'") for x in NAMES.findall(attributes)).replace("_", "-")
+            if not closing:
                 has_article = has_article or name in ("article", "main")
-                stack.append((
-                    name, article or name in ("article", "main"), bad_element or name in ("nav", "footer", "aside", "form", "menu", "dialog", "fieldset"),
-                    bad_name or bool(BAD_NAMES.search(names)), good_name or bool(GOOD_NAMES.search(names)),
-                ))
+                stack.append(nested(stack[-1], name, attributes))
+                opened[name] = opened.get(name, 0) + 1
+            elif opened.get(name):
+                last = ""
+                while last != name:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
         if name in LEAVES:
             leaf = "" if closing else name
-            names = " ".join(x.strip("\"'") for x in NAMES.findall(attributes)).replace("_", "-") if not closing and attributes else ""
-            if names and BAD_NAMES.search(names):
+            if not closing and attributes and judged_names(attributes)[0]:
                 # A lone element with such a name: its text is a block under it.
                 end = re.compile(rf"</{name}\b[^>]*>|<(?:p|div|h[1-6]|li|article|section)\b", re.IGNORECASE).search(source, at)
                 stop = end.start() if end else len(source)
-                inside = stack[-1] if stack else ("", False, False, False, False)
-                stack.append((name, inside[1], inside[2], True, inside[4]))
+                stack.append(stack[-1][:3] + (2,) + stack[-1][4:])
                 add(TAG.sub("", source[at:stop]))
                 close_block()
                 stack.pop()
@@ -125,7 +185,7 @@ def flat_blocks(source: str) -> list[dict]:
     return blocks
 
 
-def labelled_pages(pages: int = 200, seed: int = 5) -> list[str]:
+def labelled_pages(pages: int = 400, seed: int = 5) -> list[str]:
     """The labelled table: pages of varied layout, made by rule, whose blocks carry data-label 1 (article) or 0."""
     rng = random.Random(seed)
     words = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all we can her has there".split()
@@ -160,8 +220,15 @@ def labelled_pages(pages: int = 200, seed: int = 5) -> list[str]:
 
     made = []
     kinds = ["nav", "header", "aside", "ad", "cookie", "form", "related", "share", "menu", "plain", "comments"]
+    shells = ["<article>{}</article>"] * 3 + [
+        "<main>{}</main>", '<main><article class="post">{}</article></main>', '<div class="content">{}</div>', '<div id="article-body">{}</div>', "<div>{}</div>", "{}",
+        '<main class="content with-sidebar">{}</main>', '<article class="post tags header-image">{}</article>', '<div class="has-header"><div class="entry">{}</div></div>',
+        '<div class="header-image"><div>{}</div></div>', "table", "table",
+    ]
     for _ in range(pages):
-        shell = rng.choice(["<article>{}</article>"] * 3 + ["<main>{}</main>", '<main><article class="post">{}</article></main>', '<div class="content">{}</div>', '<div id="article-body">{}</div>', "<div>{}</div>"])
+        shell = rng.choice(shells)
+        if shell == "table":  # a page laid out by a table, with a column of links
+            shell = f"<table><tr><td>{links(3, 8)}</td><td>{{}}</td></tr></table>"
         before = "".join(clutter(rng.choice(kinds)) for _ in range(rng.randint(0, 4)))
         after = "".join(clutter(rng.choice(kinds)) for _ in range(rng.randint(0, 3)))
         made.append(f"<html><body>{before}{shell.format(article())}{after}<footer><p {no}>{text(3, 25)}</p></footer></body></html>")

@@ -108,12 +108,12 @@ def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-# The pages of the tables keep their article in one element; the SQL states its text. References decode after the markup is gone.
+# The pages of the tables keep their article in one element; the SQL states its text. References decode after the markup is gone, the oldest also without their semicolon (headings cut inside one).
 ORACLE["op1_html_blocks"] = """
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS t FROM pages),
 b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
-c AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM b),
-d AS (SELECT page_id, url, trim(regexp_replace(t, '[\\s\\x{A0}]+', ' ', 'g')) AS text FROM c)
+c AS (SELECT page_id, url, replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&amp') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(replace(t, '&amp', '&'), '[\\s\\x{A0}]+', ' ', 'g')) AS text FROM c)
 SELECT page_id, url, text, length(text) AS n_chars FROM d
 """
 

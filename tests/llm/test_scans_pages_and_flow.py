@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import pytest
@@ -166,6 +167,48 @@ def test_article_text(spark, shell):
     assert html_blocks.main_text(pages).first()["main_text"] == TEXT
 
 
+LAYOUTS = [
+    '<main class="content with-sidebar">{}</main>', '<article class="post tags header-image">{}</article>', '<div class="has-header"><div class="entry">{}</div></div>',
+    '<div class="content-sidebar-wrap"><main>{}</main></div>', '<div class="header-image"><div>{}</div></div>', "{}", "<div>{}</div>",
+    '<table><tr><td><ul><li><a href="/1">Left one</a></li><li><a href="/2">Left two</a></li><li><a href="/3">Left three</a></li></ul></td><td>{}</td></tr></table>',
+]
+STORY = "<h1>A headline of the story</h1>" + "".join(f"<p>{' '.join(f'word{i}x{k}' for k in range(45))}</p>" for i in range(4))
+STORY_TEXT = "A headline of the story " + " ".join(f"word{i}x{k}" for i in range(4) for k in range(45))
+
+
+def test_layouts_without_a_plain_article(spark):
+    pages = [PAGE.format(body=shell.format(STORY)).replace("<body>", body) for shell in LAYOUTS for body in ("<body>", '<body class="single no-sidebar">')]
+    # Elements whose end tag is missing or optional take no text with them; a name such as notice-board is no notice.
+    for extra in ("<datalist><option value=a>a<option value=b>b</datalist>", "<video src=x>", "<select><option>one<option>two</select>"):
+        pages.append(PAGE.format(body=f"<article>{extra}{STORY}</article>"))
+    pages.append(PAGE.format(body=f"<article>{STORY.replace('<p>', '<p class=notice-board>', 1)}</article>"))
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    found = {r["page_id"]: r["main_text"] for r in html_blocks.main_text(rows).collect()}
+    wrong = {k: found[k][:80] for k in found if found[k] != STORY_TEXT}
+    assert not wrong and len(found) == len(pages)
+
+
+@pytest.mark.parametrize("names, bad", [
+    ("ad-slot", 2), ("cookie-notice", 2), ("commentList", 2), ("site-header", 1), ("menu-item", 1), ("notice", 1), ("sidebar_left", 2), ("side-bar", 2), ("has-sidebar", 0), ("no-comments", 0),
+    ("header-image", 0), ("notice-board", 0), ("entry-header", 0), ("post", 0), ("adapter", 0), ("", 0),
+])
+def test_names_of_boilerplate(names, bad):
+    assert html_blocks.judged_names(f' data-id="ad" class="{names}"')[0] == bad
+
+
+def test_comments_and_teasers_stay_out(spark):
+    comment = '<div class="comments"><article class="comment"><p>What a story, I read it twice and sent it to a friend of mine</p></article></div>'
+    page = PAGE.format(body=f"<article>{STORY}</article>{comment}")
+    assert html_blocks.main_text(spark.createDataFrame([(1, page)], "page_id long, html string")).first()["main_text"] == STORY_TEXT
+
+
+@pytest.mark.parametrize("piece", ["<div>w ", "</ul><div>w ", "<video>w ", "<option>w ", '<a "', "<p class=ad>w ", "<header>w "])
+def test_time_is_linear_in_the_page(piece):
+    started = time.monotonic()
+    html_blocks.flat_blocks(piece * 100_000)
+    assert time.monotonic() - started < 20
+
+
 def test_awkward_pages(spark):
     pages = spark.createDataFrame([(1, None), (2, ""), (3, "just text"), (4, "<article><p>open <b>tags <i"), (5, "<!-- never closed <article><p>x"), (5, "<article>" + "<div>" * 3000 + "deep words here" + "</div>" * 10),
                                    (6, "<article><p>" + "long " * 200_000 + "</p></article>")], "page_id long, html string").withColumn("text", F.lit("clash")).withColumn("b", F.lit(1))
