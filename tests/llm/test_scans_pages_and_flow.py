@@ -90,31 +90,49 @@ def plain(text):
     return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
 
 
+def best_windows(docs, templates, similarity=0.8):
+    """Brute force: (document, template) -> containment of the best of all windows of a template's size on its grid."""
+    best = {}
+    for i, text in docs:
+        words = plain(text)
+        shingles = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        for name, template in templates:
+            other = plain(template)
+            want = [tuple(other[k : k + 5]) for k in range(len(other) - 4)]
+            step = max(1, len(want) // 4)
+            shares = [len(set(want) & set(shingles[k : k + len(want) + step])) / len(set(want)) for k in range(0, len(shingles), step)] if want else []
+            if max(shares, default=0) >= similarity:
+                best[i, name] = max(shares)
+    return best
+
+
 def test_licenses_equal_brute_force(spark, sample, awkward, nothing):
     texts = dict(license_scan.TEMPLATES)
     mit = texts["mit"].split(" ")
     mit[40] = "changed"
     docs = [(r["doc_id"], r["text"]) for r in sample.collect()] + [(1000, f"{prose(1, 30)} {' '.join(mit)} {prose(2, 30)}"), (1001, " ".join(reversed(mit))), (1002, texts["isc"][: len(texts["isc"]) // 2]),
                                                                   (1003, None), (1004, ""), (1005, "Released under the MIT License."), (1005, "Released under the MIT License.")]
-    expected = {}
-    for i, text in docs:
-        words = plain(text)
-        shingles = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
-        for name, template in license_scan.TEMPLATES:
-            other = plain(template)
-            want = [tuple(other[k : k + 5]) for k in range(len(other) - 4)]
-            size = len(want) + max(1, len(want) // 4)
-            best = max((len(set(want) & set(shingles[k : k + size])) / len(set(want)) for k in range(max(1, len(shingles) - size + 1))), default=0)
-            if best >= 0.8:
-                expected[i, name] = best
+    docs += [(2000 + k, f"{prose(k, 25)} {text} {prose(k + 1, 25)}") for k, text in enumerate(texts.values())]
+    expected = best_windows(docs, license_scan.TEMPLATES)
     found = license_scan.license_matches(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {(r["id"], r["template"]) for r in found} == set(expected) and len(found) == len(expected)
-    assert all(r["containment"] <= expected[r["id"], r["template"]] + 1e-9 for r in found)
+    assert {(r["id"], r["template"]): pytest.approx(r["containment"]) for r in found} == expected and len(found) == len(expected)
+    assert {(2000 + k, name) for k, name in enumerate(texts)} <= set(expected)
     assert license_scan.license_matches(awkward).count() == 0 and license_scan.license_matches(nothing).count() == 0
     with pytest.raises(ValueError):
         license_scan.license_matches(sample, spark.range(1001).selectExpr("string(id) template", "'five words or more here ' || id text"))
 
 
+def test_licenses_that_repeat_a_clause(spark):
+    clause = "you may copy this work for any purpose whatever it is"
+    templates = [("chorus", " ".join([clause] * 8)), ("refrain", f"{clause} {prose(5, 20)} {clause} {prose(6, 20)}"), ("verse", prose(7, 40))]
+    docs = [(1, f"{prose(1, 40)} {clause} {clause} {prose(2, 40)}"), (2, clause), (3, f"{prose(3, 9)} {templates[1][1]} {prose(4, 9)}"), (4, f"{clause} {prose(9, 12)} {prose(7, 40)}"), (5, prose(8, 90))]
+    expected = best_windows(docs, templates)
+    given = spark.createDataFrame(templates, "template string, text string").withColumn("m", F.lit("clash"))
+    found = license_scan.license_matches(spark.createDataFrame(docs, "doc_id long, text string"), given).collect()
+    assert {(r["id"], r["template"]): pytest.approx(r["containment"]) for r in found} == expected
+    assert expected[1, "chorus"] == 1.0 and (3, "refrain") in expected and (4, "verse") in expected
+
+
 def test_toxicity_learns_pairs(spark):
     rng = __import__("random").Random(2)
     rows = []
