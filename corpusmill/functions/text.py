@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .unicode import compose, needs_composition
+
 # Separators of every kind plus the control characters that count as white space. Single characters and one category
 # test are much faster in the JVM's matcher than a long list of ranges.
 WS_CHARS = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F\x{0085}\p{Z}"
@@ -101,12 +103,12 @@ def _decode_numeric(c: Column) -> Column:
 
 # A UTF-8 lead byte and a continuation byte, both shown as one-byte characters.
 _MOJIBAKE = rf"[\x{{00C2}}-\x{{00F4}}][\x{{0080}}-\x{{00BF}}{_CP1252_CHARS}]"
-_NEEDS_REPAIR = rf"[&{QUOTES_FROM}{''.join(LIGATURES)}\r\x{{0085}}\x{{2028}}\x{{2029}}]|{_MOJIBAKE}"
+_NEEDS_REPAIR = rf"[&{QUOTES_FROM}{''.join(LIGATURES)}\r\x{{0085}}\x{{2028}}\x{{2029}}{needs_composition()}]|{_MOJIBAKE}"
 
 
 def fix_encoding(c: Column | str) -> Column:
     """Repair common encoding damage: UTF-8 read as Latin-1/Windows-1252, character references, curly quotes,
-    ligatures and line breaks. Unicode normalisation has no built-in and is left out.
+    ligatures and line breaks, then canonical composition.
 
     One pattern decides whether a text needs any of it; give a plain column, since it is referred to more than once."""
     c = _col(c)
@@ -123,7 +125,7 @@ def fix_encoding(c: Column | str) -> Column:
         out = F.translate(out, QUOTES_FROM, QUOTES_TO)
         for src, dst in LIGATURES.items():
             out = F.replace(out, F.lit(src), F.lit(dst))
-        return F.regexp_replace(out, r"\r\n?|[\x{0085}\x{2028}\x{2029}]", "\n")
+        return compose(F.regexp_replace(out, r"\r\n?|[\x{0085}\x{2028}\x{2029}]", "\n"))
 
     return F.when(c.rlike(_NEEDS_REPAIR), repair(c)).otherwise(c)
 

@@ -43,6 +43,15 @@ def test_entities_both_ways(spark, lexicon, inline):
     assert got[2] == {} and got[3] == {}
 
 
+@pytest.mark.parametrize("inline", [100, 0])
+def test_entities_of_letters_with_special_cases(spark, inline):
+    lexicon = spark.createDataFrame([("İstanbul", "SYMPTOM"), ("ΟΔΟΣ Straße", "DISEASE"), ("", "DISEASE"), (None, "DISEASE")], "phrase string, label string")
+    docs = spark.createDataFrame([(1, "İstanbul, İSTANBUL and Οδός; οδοσ ΟΔΟΣ straße")], "seq bigint, abstract string")
+    found = E.tag_entities(docs, lexicon, "seq", inline_phrases=inline).first().entities
+    assert [(e.text, e.start) for e in found["SYMPTOM"]] == [("İstanbul", 0)]
+    assert [e.text for e in found["DISEASE"]] == ["ΟΔΟΣ straße"]
+
+
 def test_label_mapping(spark):
     df = spark.createDataFrame([("ORG",), ("CHEMICAL",), ("XYZ",)], "label string").select(E.entity_type("label").alias("t"))
     assert [r.t for r in df.collect()] == ["ORGANIZATION", "DRUG", "OTHER"]

@@ -32,6 +32,11 @@ ALLOWED = ("ththre.example.com", "m.ththth.example.net", "blog.ththan.example.ne
 SCRAPED_AT = "2024-01-31 00:00:00"
 
 
+# Accented letters as base and combining marks; two carry another mark in an order that is not canonical.
+DECOMPOSED = {
+    "ä": "a\u0308", "ö": "o\u0308\u0323", "ü": "u\u0308", "é": "e\u0301", "è": "e\u0300", "ê": "e\u0302\u0323", "ñ": "n\u0303", "ó": "o\u0301", "ç": "c\u0327", "Å": "\u212b",
+}
+
 # Tables whose rows are costly to work on.
 TEXT_TABLES = ("documents", "pages")
 
@@ -76,6 +81,15 @@ def clean_documents(spark, folder):
     return curation.clean(raw(spark, folder), anonymize=False).select("seq", "title", "abstract")
 
 
+def composed_documents(spark, folder):
+    """Documents whose accented letters were taken apart, in canonical composition again."""
+    apart = F.col("text")
+    for letter, parts in DECOMPOSED.items():
+        apart = F.replace(apart, F.lit(letter), F.lit(parts))
+    documents = table(spark, folder, "documents").select("doc_id", apart.alias("apart"))
+    return documents.select("doc_id", T.compose("apart").alias("composed"), F.length("apart").alias("n_apart"))
+
+
 def content_hashes(spark, folder):
     return raw(spark, folder).select(
         "seq", T.content_hash("title", "abstract").alias("hash_sha256"), T.article_url("pmid").alias("article_url")
@@ -640,7 +654,7 @@ def streamed_keep_first(spark, folder):
 
 
 ALL = [
-    clean_documents, content_hashes, text_measures, compliance_records, pii_redaction, pii_counts, pii_totals,
+    clean_documents, composed_documents, content_hashes, text_measures, compliance_records, pii_redaction, pii_counts, pii_totals,
     pii_free_documents, content_gate, record_scores, record_validation, validation_summary, allowlist_flags, crawl_rules,
     fetch_outcomes, fetch_statistics, page_records, generic_records, link_edges, parsed_pages, url_list_scan,
     url_list_totals, listed_page_records, exact_duplicates, similar_titles, similar_title_ratios, first_visits,
