@@ -27,12 +27,11 @@ def lexicon(spark):
     return spark.createDataFrame(LEXICON, "phrase string, label string")
 
 
-@pytest.mark.parametrize("inline", [100, 0])
-def test_entities_both_ways(spark, lexicon, inline):
+def test_entities(spark, lexicon):
     docs = spark.createDataFrame(
         [(1, "High  fever? FEVER, take Aspirin; fever and rest. In Paris: aspirin"), (2, "nothing"), (3, None)],
         "seq bigint, abstract string")
-    got = {r.seq: r.entities for r in E.tag_entities(docs, lexicon, "seq", inline_phrases=inline).collect()}
+    got = {r.seq: r.entities for r in E.tag_entities(docs, lexicon, "seq").collect()}
     found = {k: [(e.text, e.label, e.start, e.end) for e in v] for k, v in got[1].items()}
     assert found == {
         "SYMPTOM": [("High  fever", "SYMPTOM", 0, 11)],
@@ -43,15 +42,49 @@ def test_entities_both_ways(spark, lexicon, inline):
     assert got[2] == {} and got[3] == {}
 
 
-@pytest.mark.parametrize("inline", [100, 0])
-def test_entities_of_letters_with_special_cases(spark, inline):
+def test_entities_of_letters_with_special_cases(spark):
     lexicon = spark.createDataFrame([("İstanbul", "SYMPTOM"), ("ΟΔΟΣ Straße", "DISEASE"), ("", "DISEASE"), (None, "DISEASE")], "phrase string, label string")
     docs = spark.createDataFrame([(1, "İstanbul, İSTANBUL and Οδός; οδοσ ΟΔΟΣ straße")], "seq bigint, abstract string")
-    found = E.tag_entities(docs, lexicon, "seq", inline_phrases=inline).first().entities
+    found = E.tag_entities(docs, lexicon, "seq").first().entities
     assert [(e.text, e.start) for e in found["SYMPTOM"]] == [("İstanbul", 0)]
     assert [e.text for e in found["DISEASE"]] == ["ΟΔΟΣ straße"]
 
 
+def test_entities_against_a_plain_search(spark):
+    """Random texts, some longer than several blocks of runs, against a loop over all word runs."""
+    rng = random.Random(4)
+    phrases = {"a": "DISEASE", "b c": "SYMPTOM", "a b c": "CHEMICAL", "d": "GPE", "c c": "TREATMENT", "é_1": "ANATOMY"}
+    texts = ["".join(rng.choice(["a", "A", "b", "c", "C", "d", "é_1", "x", "😀", "İ"]) + rng.choice([" ", "  ", ", ", "-\n"]) for _ in range(n))
+             for n in [0, 1, 2, 3, 5, 9, 16, 32, 130, 700] * 3 + [9000]] + ["...", " a", "a", "😀 b C", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "seq bigint, abstract string")
+    got = {r.seq: r.entities for r in E.tag_entities(docs, spark.createDataFrame(list(phrases.items()), "phrase string, label string"), "seq").collect()}
+    kinds = {"DISEASE": "DISEASE", "SYMPTOM": "SYMPTOM", "CHEMICAL": "DRUG", "TREATMENT": "TREATMENT", "ANATOMY": "ANATOMY"}
+    for seq, text in enumerate(texts):
+        words, first = list(re.finditer(r"\w+", text or "")), {}
+        for i in range(len(words)):
+            for j in range(i, min(i + 3, len(words))):
+                label = phrases.get(" ".join(w.group().lower() for w in words[i : j + 1]))
+                if label in kinds:
+                    start, end = words[i].start(), words[j].end()
+                    first.setdefault((kinds[label], text[start:end].lower()), (text[start:end], label, start, end))
+        expected = {}
+        for (kind, _), e in first.items():
+            expected.setdefault(kind, []).append(e)
+        assert {k: [tuple(e) for e in v] for k, v in got[seq].items()} == {k: sorted(v, key=lambda e: e[2:]) for k, v in expected.items()}
+
+
+def test_spans_that_leave_the_row_are_mentions(spark, lexicon):
+    """Words outside the lexicon do not become rows; the filter grows with the lexicon and an empty lexicon finds nothing."""
+    docs = spark.range(200).select(F.col("id").alias("seq"), F.concat(F.lit("fever "), F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("w"), (F.col("id") * 100 + i).cast("string"))), " ")).alias("abstract"))
+    keyed = lambda df: df.select(E.phrase_key("phrase").alias("phrase"))
+    many = spark.range(50_000).select(F.concat(F.lit("phrase "), F.col("id").cast("string")).alias("phrase"))
+    for words in (keyed(lexicon), keyed(lexicon.select("phrase").unionByName(many))):
+        spans = E.candidate_spans(docs, words, "seq", "abstract", 3)
+        assert spans.where("phrase = 'fever'").count() == 200 and spans.count() < 200 + 0.03 * 200 * 300
+    assert E.candidate_spans(docs, keyed(lexicon).where("false"), "seq", "abstract", 3).count() == 0
+
+
 def test_label_mapping(spark):
     df = spark.createDataFrame([("ORG",), ("CHEMICAL",), ("XYZ",)], "label string").select(E.entity_type("label").alias("t"))
     assert [r.t for r in df.collect()] == ["ORGANIZATION", "DRUG", "OTHER"]

@@ -307,8 +307,8 @@ def document_keywords(spark, folder):
     return found.select("doc_id", (F.col("i") + 1).alias("rank"), "k.word", F.col("k.n").alias("n"))
 
 
-def _tagged(spark, folder, **options):
-    return E.tag_entities(raw(spark, folder), lexicon(spark), "seq", max_words=2, **options)
+def _tagged(spark, folder):
+    return E.tag_entities(raw(spark, folder), lexicon(spark), "seq", max_words=2)
 
 
 def entities(spark, folder):
@@ -316,8 +316,11 @@ def entities(spark, folder):
 
 
 def entities_joined(spark, folder):
-    """The same with the lexicon joined instead of inlined."""
-    return E.entity_rows(_tagged(spark, folder, inline_phrases=0), "seq").drop("position")
+    """The same found span by span: mentions joined with the phrases of the lexicon, the first of equal texts per type."""
+    known = lexicon(spark).select(E.phrase_key("phrase").alias("phrase"), "label", E.entity_type("label").alias("type"))
+    spans = E.candidate_spans(raw(spark, folder), known, "seq", "abstract", 2).join(known, "phrase").where(F.col("type").isin(*E.DEFAULT_TYPES))
+    firsts = spans.groupBy("seq", "type", "lower").agg(F.min(F.struct("start", "end", "text", "label")).alias("e"))
+    return firsts.select("seq", "type", "e.text", "e.label", "e.start", "e.end")
 
 
 def entity_labels(spark, folder):
