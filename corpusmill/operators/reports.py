@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.urls import authority
 
 
-def run_counters(records: DataFrame, status: str = "status") -> DataFrame:
-    """One row of counters from the per-row status of a curation run."""
+def _counters(status: str) -> list[Column]:
     s = F.col(status)
-    return records.agg(
+    return [
         F.count("*").alias("processed"),
         F.count_if(s.isin("invalid", "kept")).alias("cleaned"),
         F.count_if(s == "kept").alias("validated"),
         F.count_if(s == "kept").alias("enriched"),
         F.count_if(s == "duplicate").alias("duplicates"),
         F.count_if(s.isin("too_short", "invalid")).alias("failures"),
-    )
+    ]
+
+
+def run_counters(records: DataFrame, status: str = "status") -> DataFrame:
+    """One row of counters from the per-row status of a curation run."""
+    return records.agg(*_counters(status))
+
+
+def observed_counters(records: DataFrame, status: str = "status") -> tuple[DataFrame, Observation]:
+    """`records` with the counters of `run_counters` attached: whatever writes the first result fills the second, `.get`, on its way, so the
+    counters need no second pass. They count the rows of the first finished action."""
+    observation = Observation()
+    return records.observe(observation, *_counters(status)), observation
 
 
 def validation_summary(records: DataFrame, valid: str = "is_valid") -> DataFrame:

@@ -47,20 +47,28 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, text: str = "text") -> D
     )
 
 
-def cache_misses(requests: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct texts the cache does not hold: (text_sha256, text). Equal texts are merged before the anti-join, so
-    however often a text occurs it is vectorised once."""
-    distinct = requests.groupBy(text_key(text).alias("text_sha256")).agg(F.first(text).alias("text"))
-    return distinct.join(cache.select("text_sha256"), "text_sha256", "left_anti")
+def missing_hashes(requests: DataFrame, cache: DataFrame, text: str = "text", row_id: str = "id") -> DataFrame:
+    """(text_sha256, row_id): hashes the cache does not hold, each with its smallest request. Only hashes and ids are shuffled; copies
+    of a text are merged on the map side."""
+    smallest = requests.select(text_key(text).alias("text_sha256"), row_id).groupBy("text_sha256").agg(F.min(row_id).alias(row_id))
+    return smallest.join(cache.select("text_sha256"), "text_sha256", "left_anti")
+
+
+def cache_misses(requests: DataFrame, cache: DataFrame, text: str = "text", row_id: str = "id") -> DataFrame:
+    """Distinct texts the cache does not hold: (text_sha256, text), so however often a text occurs it is vectorised once. The misses are
+    settled on hashes and staged; then the text of one request per miss is fetched by `row_id`, which is not null and tells requests apart.
+    Few misses are broadcast to the requests, which then stay where they are."""
+    missing = stage(missing_hashes(requests, cache, text, row_id), "misses")
+    return requests.select(row_id, F.col(text).alias("text")).join(missing, row_id).select("text_sha256", "text")
 
 
 def embed_with_cache(
-    requests: DataFrame, cache: DataFrame, embed_fn, text: str = "text"
+    requests: DataFrame, cache: DataFrame, embed_fn, text: str = "text", row_id: str = "id"
 ) -> tuple[DataFrame, DataFrame]:
     """(requests with embeddings, rows to append to the cache). `embed_fn` is the caller's vectorised UDF from text to
     array<float>; it runs on the misses only, whose result is staged so that it is computed once."""
     added = stage(
-        cache_misses(requests, cache, text).select("text_sha256", embed_fn("text").alias("embedding")), "embeddings"
+        cache_misses(requests, cache, text, row_id).select("text_sha256", embed_fn("text").alias("embedding")), "embeddings"
     )
     known = cache.select("text_sha256", "embedding").unionByName(added)
     return cache_lookup(requests, known, text).drop("hit"), added

@@ -73,7 +73,8 @@ def keep_first_batches(root: str, seq: str = "seq") -> Callable[[DataFrame, int]
 
 
 def daily_counts(stream: DataFrame, ts: str = "ts", limit: int = 2000, delay: str = "1 hour") -> DataFrame:
-    """Requests per UTC day against the limit; `window_start` is the day."""
+    """Requests per UTC day against the limit; `window_start` is the day. In update mode a batch gives the days it changed, and a day that
+    ended more than `delay` before the latest request leaves the state; requests later than that are not counted."""
     return (
         stream.withWatermark(ts, delay)
         .groupBy(F.window(ts, "1 day").alias("w"))
@@ -86,6 +87,17 @@ def daily_counts(stream: DataFrame, ts: str = "ts", limit: int = 2000, delay: st
     )
 
 
+def count_batches(root: str, key: str = "window_start", buckets: int = 8) -> Callable[[DataFrame, int], None]:
+    """`foreachBatch` function for counts in update mode: a keyed table with the last counts of every `key` and `first_batch`, the batch
+    that first saw it. A batch has one row per changed key; it commits by its manifest, so a replay gives the same table."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumns({"seq": F.lit(0).cast("bigint"), "first_batch": F.lit(batch_id).cast("bigint")})
+        upsert_snapshot(root, rows, batch_id, key, "seq", "first_batch", buckets)
+
+    return run
+
+
 def upsert_batches(root: str, key="hash_sha256", seq="seq", keep="pmid", buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` function: one version of a keyed table per batch, named by the batch id. The data of the touched buckets come first,
     the manifest commits them; a replayed batch starts from the manifest before it, wherever the run before was stopped."""

@@ -130,6 +130,20 @@ def test_embedding_cache(spark):
     assert added.count() == 2 and calls.value == 2
 
 
+def test_misses_are_settled_without_texts(spark):
+    """Nothing but hashes and ids is shuffled before the misses are known, and a null text is one like any other."""
+    rows = [(i, None if i % 5 == 0 else f"text {i % 7}") for i in range(200)]
+    requests = spark.createDataFrame(rows, "id bigint, text string")
+    cache = requests.where("text = 'text 3'").select(V.text_key("text").alias("text_sha256"), F.array(F.lit(1.0)).alias("embedding")).distinct()
+    plan = V.missing_hashes(requests, cache)._jdf.queryExecution().optimizedPlan()
+    assert plan.output().size() == 2 and "first(text" not in plan.toString()
+    found = {r.text_sha256: r.text for r in V.cache_misses(requests, cache).collect()}
+    import hashlib
+
+    assert found == {hashlib.sha256((t or "").encode()).hexdigest(): t for t in [None, *(f"text {k}" for k in (0, 1, 2, 4, 5, 6))]}
+    assert V.cache_misses(requests.where("false"), cache).count() == 0
+
+
 def test_first_n(spark):
     df = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1)], "g string, i int")
     assert [(r.g, r.i, r["rank"]) for r in first_n_per_group(df, "g", ["i"], 2).orderBy("g", "i").collect()] == [

@@ -98,3 +98,42 @@ def test_first_arrivals(spark, folder):
     stream = spark.readStream.schema(df.schema).parquet(folder("in"))
     run(streams.first_arrivals(stream, "ts").writeStream.format("parquet").option("path", folder("o")).option("checkpointLocation", folder("c")))
     assert spark.read.parquet(folder("o")).count() == 2
+
+
+def test_daily_counts_in_update_mode(spark, folder):
+    """The table equals a plain count, the state holds the open days only, and a replayed batch changes nothing."""
+    from corpusmill.sinks.writers import read_snapshot
+
+    for day in range(6):
+        rows = [(f"2024-01-0{day + 1} 12:00:00",)] * (day + 2) + ([(f"2024-01-0{day} 23:30:00",)] if day else [])
+        df = spark.createDataFrame(rows, "ts string").select(F.col("ts").cast("timestamp").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(folder("in"))
+    stream = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder("in"))
+    counts, sink, seen = streams.daily_counts(stream, limit=5, delay="18 hours"), streams.count_batches(folder("t")), []
+
+    def run_batch(batch, batch_id):
+        rows = spark.createDataFrame(batch.collect(), batch.schema)  # one pass, since each adds to the figures of the state
+        for _ in range(2 if batch_id == 2 else 1):
+            sink(rows, batch_id)
+        seen.append(batch_id)
+
+    query = counts.writeStream.outputMode("update").foreachBatch(run_batch).option("checkpointLocation", folder("c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(seen) >= 6 and max(state) <= 3
+    table = read_snapshot(spark, folder("t"))
+    got = {str(r.window_start)[:10]: (r.used, r.remaining) for r in table.collect()}
+    used = {f"2024-01-0{d + 1}": d + 2 + (d < 5) for d in range(6)}
+    assert got == {d: (n, max(0, 5 - n)) for d, n in used.items()}
+    assert {str(r.window_start)[:10]: r.first_batch for r in table.collect()} == {f"2024-01-0{d + 1}": d for d in range(6)}
+
+
+def test_counters_come_with_the_write(spark, folder):
+    from corpusmill.operators import reports
+
+    statuses = ["kept"] * 5 + ["invalid"] * 3 + ["duplicate", "too_short", None]
+    records = spark.createDataFrame([(s,) for s in statuses], "status string")
+    observed, counters = reports.observed_counters(records)
+    observed.write.parquet(folder("o"))
+    assert counters.get == reports.run_counters(records).first().asDict() == {
+        "processed": 11, "cleaned": 8, "validated": 5, "enriched": 5, "duplicates": 1, "failures": 4}

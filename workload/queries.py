@@ -351,13 +351,13 @@ def cache_lookup(spark, folder):
 
 def cache_misses(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return V.cache_misses(docs, _cache(spark, folder)).select("text_sha256")
+    return V.cache_misses(docs, _cache(spark, folder), row_id="doc_id").select("text_sha256")
 
 
 def embedded_documents(spark, folder):
     """Misses vectorised by a caller's function, here the length of the text."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    out, _ = V.embed_with_cache(docs, _cache(spark, folder), lambda c: F.array(F.length(c).cast("float")))
+    out, _ = V.embed_with_cache(docs, _cache(spark, folder), lambda c: F.array(F.length(c).cast("float")), row_id="doc_id")
     return out.select("doc_id", F.get("embedding", F.lit(0)).cast("double").alias("x0"))
 
 
@@ -628,10 +628,8 @@ def streamed_daily_counts(spark, folder):
     table(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts")).write.parquet(source)
     stream = spark.readStream.schema("ts timestamp").parquet(source)
     counts = streams.daily_counts(stream, limit=400)
-    writer = counts.writeStream.outputMode("complete").foreachBatch(
-        lambda batch, _id: batch.write.mode("overwrite").parquet(sink))
-    _run(writer, spark)
-    back = spark.read.schema("window_start timestamp, used bigint, remaining bigint").parquet(sink)
+    _run(counts.writeStream.outputMode("update").foreachBatch(streams.count_batches(sink)), spark)
+    back = writers.read_snapshot(spark, sink)
     return back.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "used", "remaining")
 
 
