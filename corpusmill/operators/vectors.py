@@ -74,6 +74,34 @@ def embed_with_cache(
     return cache_lookup(requests, known, text).drop("hit"), added
 
 
+def best_of(k: int, digits: int, held: int = 1 << 20):
+    """Function of a block of queries and a slice of vectors, both (id, v): the `k` best of the slice for each query. At most `held` scores (or
+    those of one query) are in memory at a time. The functions are local so that they travel to the workers by value."""
+
+    def unit(values):
+        matrix = np.array(values.tolist(), float)
+        norms = np.sqrt((matrix**2).sum(axis=1, keepdims=True))
+        return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
+    def best(x, y):
+        found = []
+        if len(x) and len(y):
+            ids, table, asked = y["id"].to_numpy(), unit(y["v"]), unit(x["v"])
+            part = max(1, held // len(ids))
+            for begin in range(0, len(asked), part):
+                some = np.round(asked[begin : begin + part] @ table.T, digits)
+                for query, scores in zip(x["id"].iloc[begin : begin + part], some):
+                    scores[ids == query] = -2.0
+                    # All that tie with the k-th best take part in the order.
+                    least = np.partition(scores, -min(k, len(scores)))[-min(k, len(scores))]
+                    near = np.flatnonzero((scores >= least) & (ids != query))
+                    near = near[np.lexsort((ids[near], -scores[near]))][:k]
+                    found += [(query, ids[i], scores[i]) for i in near]
+        return pd.DataFrame(found, columns=["query_id", "neighbour_id", "similarity"])
+
+    return best
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", digits: int = 6,
     block: int = 1024, slice_rows: int = 20_000,
@@ -82,7 +110,7 @@ def nearest(
     similarity, rounded to `digits`; ties go by id.
 
     Queries are dealt into blocks and vectors into slices of bounded size. A task holds one block and one slice and keeps the best `k` of
-    each query; only those partial lists meet, so no row is made for a pair. A vector of norm zero has similarity zero; rows without a vector
+    each query; only those partial lists meet, so no row is made for a pair, and the scores of a few queries at a time lie in memory. A vector of norm zero has similarity zero; rows without a vector
     are left out; ids of queries are distinct."""
     narrow = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows, asked = narrow(vectors), narrow(queries)
@@ -92,25 +120,7 @@ def nearest(
     left = asked.select("*", dealt("query", blocks).alias("b"), every(slices).alias("s"))
     right = rows.select("*", dealt("row", slices).alias("s"), every(blocks).alias("b"))
 
-    def unit(values):
-        matrix = np.array(values.tolist(), float)
-        norms = np.sqrt((matrix**2).sum(axis=1, keepdims=True))
-        return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-    def best(x, y):
-        found = []
-        if len(x) and len(y):
-            ids, table = y["id"].to_numpy(), unit(y["v"])
-            for query, scores in zip(x["id"], np.round(unit(x["v"]) @ table.T, digits)):
-                scores = np.where(ids == query, -2.0, scores)
-                # All that tie with the k-th best take part in the order.
-                least = np.partition(scores, -min(k, len(scores)))[-min(k, len(scores))]
-                near = np.flatnonzero((scores >= least) & (ids != query))
-                near = near[np.lexsort((ids[near], -scores[near]))][:k]
-                found += [(query, ids[i], scores[i]) for i in near]
-        return pd.DataFrame(found, columns=["query_id", "neighbour_id", "similarity"])
-
-    partial = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(best, "query_id bigint, neighbour_id bigint, similarity double")
+    partial = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(best_of(k, digits), "query_id bigint, neighbour_id bigint, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "neighbour_id", "similarity")
