@@ -1,8 +1,11 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +171,29 @@ def test_nearest_vectors_in_blocks_and_slices(spark):
         found = V.nearest(df, df.where("vec_id % 7 = 0"), 6, **sizes).collect()
         assert {(r.query_id, r["rank"], r.neighbour_id, r.similarity + 0.0) for r in found} == expected
     assert V.nearest(df.where("false"), df, 3).count() == 0
+
+
+def test_equal_mentions_are_reduced_by_hash_before_they_are_sorted(spark):
+    docs = spark.createDataFrame([(1, "The cat. " * 400 + "the  dog and the dog"), (2, "the DOG the dog"), (None, "cat"), (None, "a cat")], "seq long, abstract string")
+    words = spark.createDataFrame([("the",), ("cat",), ("the dog",)], "phrase string")
+    spans = E.candidate_spans(docs, words, "seq", "abstract", 2)
+    firsts = E.first_spans(spans, "seq")
+    assert "SortAggregate" not in firsts._jdf.queryExecution().executedPlan().toString()
+    found = {tuple(r) for r in firsts.select("seq", "phrase", "text", "start", "end").collect()}
+    every = spans.groupBy("seq", "phrase", "lower", "text").agg(F.min(F.struct("start", "end")).alias("e"))
+    assert found == {tuple(r) for r in every.select("seq", "phrase", "text", "e.start", "e.end").collect()}
+    assert (1, "the", "The", 0, 3) in found and (None, "cat", "cat", 0, 3) in found and len(found) < 15
+
+
+def test_scores_of_a_block_are_held_in_parts():
+    rng = np.random.default_rng(1)
+    vectors = lambda n: pd.DataFrame({"id": range(n), "v": list(rng.integers(-3, 4, (n, 4)).astype(float))})
+    queries, rows = vectors(1024), vectors(20_000)
+    tracemalloc.start()
+    found = V.best_of(3, 6)(queries, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All scores at once take 164 MB, and as much again while they are rounded.
+    assert peak < 60e6
+    few = V.best_of(3, 6, held=1)(queries.head(40), rows.head(500))
+    assert few.equals(V.best_of(3, 6)(queries.head(40), rows.head(500))) and len(found) == 3 * 1024
