@@ -12,6 +12,8 @@ SYMBOLS = "#*$%&|<>"
 #: One character of white space.
 WHITE_CHAR = WHITE.rstrip("+")
 WINDOW = 5
+#: Common lines up to this number are sent to every task as they are; more are joined by a shuffle, salted.
+PLAIN_LINES = 50_000
 
 
 def normal_lines(text: Column) -> Column:
@@ -80,11 +82,14 @@ def measured(docs: DataFrame, text: str, id_column: str, host: str) -> DataFrame
 
 
 def with_common(lines: DataFrame, common: DataFrame, key: str, salts: int) -> DataFrame:
-    """Rows of `lines` (host, h and others) whose line is in `common` (host, h). A common line is by nature a hot key: its occurrences
-    are salted by `key`, and its single row is repeated for each salt."""
+    """Rows of `lines` (host, h and others) whose line is in the staged table `common` (host, h). A common line is by nature a hot key: its
+    occurrences are salted by `key`, and its single row is repeated for each salt. Rows repeated so are never broadcast: the optimizer takes them for as
+    small as the table they come from, and the driver would hold all of them. A small table is broadcast without salts."""
+    if common.count() <= PLAIN_LINES:
+        return lines.join(F.broadcast(common), ["host", "h"])
     salted = lines.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     spread_out = common.select("host", "h", F.explode(F.lit(list(range(salts)))).alias("salt"))
-    return salted.join(spread_out, ["host", "h", "salt"]).drop("salt")
+    return salted.join(spread_out.hint("merge"), ["host", "h", "salt"]).drop("salt")
 
 
 def copy_groups(docs: DataFrame, text: str, digests: DataFrame) -> DataFrame:

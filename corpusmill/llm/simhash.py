@@ -113,6 +113,8 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3, full_bucket: int = 256)
     masks = [signed(m) for m in covering_masks(radius)]
     keys = F.array(*(F.struct(F.lit(i).cast("byte").alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
     entries = nodes.select("fingerprint", F.explode(keys).alias("k")).select("k.t", "k.key", "fingerprint")
+    # Staged, since the optimizer takes the entries for as small as the table of nodes and would have the driver broadcast them.
+    entries = stage(entries, "entries")
     shared = entries.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = stage(entries.join(shared, ["t", "key"]), "buckets")
     few, many = members.where(F.col("n") <= full_bucket), members.where(F.col("n") > full_bucket).select("fingerprint").distinct()
@@ -126,7 +128,8 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3, full_bucket: int = 256)
         return many.select(F.col("fingerprint").alias(name), F.explode(F.lit(fit)).alias("p")).select(name, F.col(name).bitwiseXOR(F.col("p")).alias("z"))
 
     centres = around(inner, "b").groupBy("z").agg(F.min("b").alias("b"))
-    dense = around(outer, "a").join(centres, "z").where("a <> b").select("a", "b").distinct()
+    # The optimizer takes the rows around a value for as small as the value alone and would have the driver broadcast them.
+    dense = around(outer, "a").join(centres.hint("merge"), "z").where("a <> b").select("a", "b").distinct()
     return compared.distinct().union(dense)
 
 

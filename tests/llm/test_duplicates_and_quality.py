@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontamination, line_quality, simhash
-from corpusmill.llm.common import connected_components
+from corpusmill.llm.common import connected_components, stage
 from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -300,3 +300,24 @@ def test_bit_majority_blocks():
     bits = np.array(values, "<u8")
     expected = sum(1 << b for b in range(64) if 2 * int(((bits >> np.uint64(b)) & np.uint64(1)).sum()) > len(values))
     assert simhash.bit_majority(iter(values)) & (2**64 - 1) == expected
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_repeated_for_salts_or_around_values_are_not_broadcast(spark, monkeypatch):
+    lines = spark.range(60).selectExpr("id row", "concat('src', id % 3) host", "id % 5 h")
+    common = stage(spark.range(4).selectExpr("concat('src', id % 2) host", "id % 3 h"), "common")
+    rows = lambda df: sorted(tuple(r) for r in df.select("row", "host", "h").collect())
+    plain = line_quality.with_common(lines, common, "row", 32)
+    assert "explode" not in plan_of(plain)
+    monkeypatch.setattr(line_quality, "PLAIN_LINES", 0, raising=False)
+    salted = line_quality.with_common(lines, common, "row", 32)
+    assert "BroadcastHashJoin" not in plan_of(salted)
+    assert rows(salted) == rows(plain) == rows(lines.join(common, ["host", "h"])) != []
+    nodes = spark.range(40).selectExpr("shiftleft(1L, cast(id as int)) fingerprint")
+    monkeypatch.setattr(simhash, "stage", lambda df, name: seen.append((name, plan_of(df))) or stage(df, name))
+    seen = []
+    assert "BroadcastHashJoin [z" not in plan_of(simhash.fingerprint_links(nodes, 3, 2))
+    assert [name for name, plan in seen] == ["entries", "buckets"] and "explode" not in seen[1][1]
